@@ -5,12 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import fold, stash, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The production key is a secret of the deployment; this one makes the query repeatable.
+PII_KEY = "lakelens-demonstration-key"
 PACK_TOKENIZER, PACK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), 50_257
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules are mined from the pages whose id has a label: of low quality or not."""
+    from . import url_filter
+
+    pages = table(spark, sf_dir, "pages")
+    known = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad")).distinct()
+    rules = url_filter.mine(pages.join(known, pages.page_id == known.doc_id).select("url", "bad"))
+    return url_filter.judge(pages.select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), keep_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -42,5 +75,23 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_jaccard_join, op7_token_counts, op8_bpe_codec)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    folder = warc.fresh_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    back = warc.read(spark, folder).select("page_id", F.length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to")
+    back = stash(back, "warc-pages")
+    size = back.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("own").alias("payload_bytes"))
+    return back.join(size, "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.filter("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op3_quality_rules, op4_toxicity, op5_packing, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op9_warc, op10_ann)}
 ORACLE: dict[str, str] = {}
