@@ -16,8 +16,8 @@ L, N, O, AP0, AP1, AP2, SP_MID, SP_LAST, WS_MID, WS_LAST = range(10)
 # States: what the token that holds the previous character still accepts.
 IN_L, IN_N, IN_O, SPACE_OPEN, IN_WS, NEED1, NEED2, CLOSED = range(8)
 BLOCK = 128
-#: Pre-tokens a worker remembers; the cache starts anew beyond that, so that its memory is bounded.
-CACHE = 500_000
+#: Pre-tokens a worker remembers: the first that it meets, so the frequent ones, and no more, so that its memory is bounded.
+CACHE = 800_000
 
 
 @lru_cache(1)
@@ -144,7 +144,7 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int64)
         self.off = np.zeros(1 << 16, np.int64)
         self.len = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.guests: list[bytes] = []
 
     def merge(self, word: bytes) -> list[int]:
         """Joins the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -154,13 +154,16 @@ class Encoder:
         if len(word) > 48:
             return self._merge_long(word)
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-            best = min(pairs)
-            if best == 1 << 60:
-                break
+        get, none = ranks.get, 1 << 60
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
 
     def _merge_long(self, word: bytes) -> list[int]:
@@ -187,20 +190,26 @@ class Encoder:
         return [ranks[p] for p in part if p]
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > CACHE:
-            self._reset()
-        for w in words:
-            if w in self.index:
-                continue
-            ids, k = self.merge(w), len(self.index)
-            if k >= len(self.off):
-                self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.off[k], self.len[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[w] = k
+        """Words beyond the cache's size stay until the next are learnt."""
+        for w in self.guests:
+            del self.index[w]
+        self.guests = []
+        first, ids = len(self.index), []
+        lens = np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
+            got = self.merge(w)
+            ids += got
+            lens[k] = len(got)
+            self.index[w] = first + k
+        self.guests = words[max(0, CACHE - first) :]
+        used = int(self.off[first - 1] + self.len[first - 1]) if first else 0
+        while first + len(words) > len(self.off):
+            self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.len[first : first + len(words)] = lens
+        self.off[first : first + len(words)] = used + np.cumsum(lens) - lens
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens in each pre-token."""
@@ -210,11 +219,9 @@ class Encoder:
     def known(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.index.get, words))
         if None in found:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None)))
+            guests = set(self.guests)
+            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None or w in guests)))
             found = list(map(self.index.get, words))
-            if None in found:  # the cache started anew meanwhile
-                self._learn(list(dict.fromkeys(words)))
-                found = list(map(self.index.get, words))
         return np.array(found, np.int64)
 
     def pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -251,7 +258,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def chunks(texts: list[str], most: int = 2_000_000):
+def chunks(texts: list[str], most: int = 1_000_000):
     """Index ranges of texts with about that many characters together; a longer text stands alone."""
     begin = size = 0
     for i, t in enumerate(texts):
