@@ -62,8 +62,10 @@ def with_columns(df: DataFrame, inputs: list[str], fn, fields: list) -> DataFram
     names = schema.names
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + fn([b.column(i) for i in at]), names=names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):  # small batches, so that little text is held at a time
+                b = whole.slice(first, 1024)
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + fn([b.column(i) for i in at]), names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -191,7 +191,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, features: int = 400, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, features: int = 400, doc_id: str = "doc_id", text: str = "text") -> Model:
     """The language model counts all texts. The classifier learns from at most `sample` labelled rows of each class, those
     with the smallest hash of their id, outside fold 0; rows whose label is neither 0 nor 1 teach nothing. Without labels of
     both classes every score is that of the bias, 0.02."""
@@ -202,35 +202,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, features: int =
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(sample)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y").orderBy("i").collect()
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y").collect()
+    rows.sort(key=lambda r: (r.i, r.t or ""))
     if len({r.y for r in rows}) < 2:
         return model
-    decoder, read = Decoder(model.trigrams), {}
-    per_doc = []
-    for r in rows:
-        c: Counter = Counter()
-        for w in words_of(r.t):
-            if (fs := read.get(w)) is None:
-                fs = read[w] = [f for x in readings(w, decoder) for f in forms(x)]
-            c.update(fs)
-        per_doc.append(c)
+    decoder = Decoder(model.trigrams)
     y = np.array([r.y for r in rows], float)
     have = {c: int((y == c).sum()) for c in (0, 1)}
+
+    read: dict[str, tuple[str, ...]] = {}
+
+    def counted(r) -> Counter:
+        out: Counter = Counter()
+        for w, n in Counter(words_of(r.t)).items():
+            if (xs := read.get(w)) is None:
+                xs = read[w] = readings(w, decoder)
+            for x in xs:
+                for f in forms(x):
+                    out[f] += n
+        return out
+
+    # toxic rows propose the features, clean ones only weigh them, so that few are held at a time
     seen = [Counter(), Counter()]
-    for c, r in zip(per_doc, rows):
-        seen[r.y].update(c.keys())
+    for r in rows:
+        if r.y:
+            seen[1].update(counted(r).keys())
+    seen[1] = Counter({f: n for f, n in seen[1].items() if n >= 3})
+    for r in rows:
+        if not r.y:
+            seen[0].update(f for f in counted(r) if f in seen[1])
 
     def gain(f: str) -> float:
         p, q = (seen[1][f] + 0.5) / (have[1] + 1), (seen[0][f] + 0.5) / (have[0] + 1)
         return p * math.log(p / q) + (1 - p) * math.log((1 - p) / (1 - q)) if p > 3 * q else 0
 
-    ranked = sorted(((g, f) for f, n in seen[1].items() if n >= 3 and (g := gain(f)) > 0), key=lambda x: (-x[0], x[1]))[:features]
+    ranked = sorted(((g, f) for f in seen[1] if (g := gain(f)) > 0), key=lambda x: (-x[0], x[1]))[:features]
     model.lexicon = {f: k for k, (_, f) in enumerate(ranked)}
     x = np.zeros((len(rows), len(ranked)))
-    for i, c in enumerate(per_doc):
-        for f, k in model.lexicon.items():
-            if c[f]:
-                x[i, k] = math.log1p(c[f])
+    for i, r in enumerate(rows):
+        for f, n in counted(r).items():
+            if (k := model.lexicon.get(f)) is not None:
+                x[i, k] = math.log1p(n)
     weight = np.where(y == 1, total[1] / have[1], total[0] / have[0])
     w = logistic(x, y, weight / weight.mean())
     model.weights, model.bias = w[:-1], float(w[-1])
