@@ -8,12 +8,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stash
 
 #: A block longer than that goes on in continuation records.
 SEGMENT = 65_536
@@ -21,6 +22,8 @@ SEGMENT = 65_536
 CHUNK = 8_192
 #: Records in an archive at most, so that reading one takes bounded memory.
 PER_FILE = 1_000
+#: Payloads that occur more than once are broadcast up to so many, joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace (a fixed value)
 CRLF = "\r\n"
 
@@ -125,7 +128,9 @@ def write(pages: DataFrame, path: str, at_least: int = 0) -> None:
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(body))
     first = rows.filter(F.octet_length("html") >= at_least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    known = rows.join(first, "sha", "left").select("page_id", "url", "html", "first")
+    first = stash(first, "warc-first")
+    few = first.count() <= BROADCAST_ROWS  # of about 60 bytes each
+    known = rows.join(F.broadcast(first) if few else first, "sha", "left").select("page_id", "url", "html", "first")
 
     def run(batches):
         for n, b in enumerate(batches):
@@ -136,56 +141,60 @@ def write(pages: DataFrame, path: str, at_least: int = 0) -> None:
                 out += [r.decode() for r in records(page, url, html.encode(), origin if revisit else None, revisit, row)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    known.mapInArrow(run, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    known.mapInArrow(run, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_digest) of the pages in the archives under path.
 
-    Segments are grouped by the id of their origin, ordered by number, joined and checked against the stated total; chunked
-    framing is undone and the payload checked against its digest: what doesn't add up is an error. A revisit's payload is
-    null here; its digest is as stated. An empty folder gives no rows."""
+    Records that are whole are decoded where they are read; segments, read in a pass of their own, are grouped by the id of
+    their origin, ordered by number, joined and checked against the stated total. Chunked framing is undone and the payload
+    checked against its digest; what doesn't add up is an error. A revisit's payload is null here; its digest is as stated.
+    An empty folder gives no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_digest"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    whole_type = "page_id long, url string, record_type string, refers_to long, payload binary, payload_digest string"
+
+    def number(f, k):
+        return int(f[k]) if k in f else None
+
+    def page(f, block):
+        """The row of a record that is complete."""
+        stated = f["WARC-Payload-Digest"].removeprefix("sha1:")
+        body = None
+        if f["WARC-Type"] != "revisit":
+            http, body = block.split(b"\r\n\r\n", 1)
+            body = unchunk(body) if b"transfer-encoding: chunked" in http.lower() else body
+            if digest(body) != stated:
+                raise ValueError("payload doesn't match its digest")
+        return number(f, "WARC-Page-ID"), f["WARC-Target-URI"], f["WARC-Type"], number(f, "WARC-Refers-To-Page"), body, stated
+
+    def batch(rows, names, kinds):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def complete(batches):
+        for b in batches:
+            for raw in b.column(0):
+                yield batch([page(f, block) for f, block in parse(gzip.decompress(raw.as_py())) if "WARC-Segment-Number" not in f], names, kinds)
 
-    def split(batches):
-        names = ["origin", "number", "total", "page_id", "url", "kind", "refers_to", "digest", "block"]
+    def segments(batches):
         for b in batches:
             for raw in b.column(0):
-                cols: list[list] = [[] for _ in names]
-                for f, block in parse(gzip.decompress(raw.as_py())):
-                    num = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
-                    for c, x in zip(cols, (f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), num("WARC-Segment-Number"), num("WARC-Segment-Total-Length"), num("WARC-Page-ID"), f["WARC-Target-URI"], f["WARC-Type"], num("WARC-Refers-To-Page"), f.get("WARC-Payload-Digest"), block)):
-                        c.append(x)
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    from .common import stash
-
-    parts = stash(files.mapInArrow(split, "origin string, number long, total long, page_id long, url string, kind string, refers_to long, digest string, block binary"), "warc-segments")
-    whole = parts.filter("number is null").select("page_id", "url", "kind", "refers_to", "digest", "block", F.lit(None).cast("array<struct<number:bigint,total:bigint,block:binary>>").alias("segments"))
-    first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    cut = parts.filter("number is not null").groupBy("origin").agg(first("page_id"), first("url"), first("kind"), first("digest"), F.collect_list(F.struct("number", "total", "block")).alias("segments"))
-    cut = cut.select("page_id", "url", "kind", F.lit(None).cast("long").alias("refers_to"), "digest", F.lit(None).cast("binary").alias("block"), "segments")
+                rows = [(f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f, "WARC-Segment-Number"), number(f, "WARC-Segment-Total-Length"), json.dumps(f), block) for f, block in parse(gzip.decompress(raw.as_py())) if "WARC-Segment-Number" in f]
+                yield batch(rows, ["origin", "number", "total", "fields", "block"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()])
 
     def unite(batches):
-        names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_digest"]
         for b in batches:
-            out, digests = [], []
-            for kind, stated, block, segments in zip(*(b.column(i).to_pylist() for i in (2, 4, 5, 6))):
-                stated = stated.removeprefix("sha1:")
-                digests.append(stated)
-                if kind == "revisit":
-                    out.append(None)
-                    continue
-                block = join_segments([(s["number"], s["total"], s["block"]) for s in segments]) if segments else block
-                http, body = block.split(b"\r\n\r\n", 1)
-                body = unchunk(body) if b"transfer-encoding: chunked" in http.lower() else body
-                if digest(body) != stated:
-                    raise ValueError("payload doesn't match its digest")
-                out.append(body)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.binary()), pa.array(digests, pa.string())], names=names)
-
-    return whole.unionByName(cut).mapInArrow(unite, "page_id long, url string, record_type string, refers_to long, payload binary, payload_digest string")
+            rows = []
+            for parts in b.column(0).to_pylist():
+                block = join_segments([(s["number"], s["total"], s["block"]) for s in parts])
+                rows.append(page(json.loads(next(s["fields"] for s in parts if s["number"] == 1)), block))
+            yield batch(rows, names, kinds)
+
+    cut = files.mapInArrow(segments, "origin string, number long, total long, fields string, block binary")
+    cut = cut.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "fields", "block")).alias("parts")).select("parts")
+    return files.mapInArrow(complete, whole_type).union(cut.mapInArrow(unite, whole_type))
 
 
 def fresh_folder(spark: SparkSession) -> str:
