@@ -1,20 +1,26 @@
 """Operator 6: exact n-gram Jaccard join. Size-banded tiles, hashed bitmap signatures, sorted-array intersections.
 
-1. Sizes fall into bands. Two sets at the threshold differ in at most k shingles, k known for each band. A band deals the
-   shingles by hash to more than k parts, so linked sets agree in a whole part. Each set tells the hash of each part, in its
-   own band and, when near its end, in the next; sets that agree in one meet in a tile.
+1. Sizes fall into bands, and a tile holds sets of one band, some of them from the end of the band before. From STRICT on,
+   linked sets differ in few shingles, at most k in a band: it deals shingles by hash to more than k parts, so linked sets
+   agree in a whole part, and its hash names the tile. Below STRICT parts would be too small to tell sets apart. There
+   shingles have an order, by how often they were met, rarest first, then by hash; of a set of size s, linked sets share one
+   of the first s - ceil(threshold * s) + 1, and each of these names a tile.
 2. In a tile all are compared with its smallest id, first within a map task (so that a hot tile shrinks before the shuffle),
-   then across tasks. A pair counts if the bit counts of the bitmaps leave room for the overlap and the intersection of the
-   sorted arrays then has it.
-3. Where a tile still has several components, another member may join them. Its components form a family; a family's sets,
-   in order of size, fill blocks, and each two blocks whose sizes can match are compared in full, by bitmap first.
+   then across tasks. Bit counts of the hashed bitmaps bound the overlap of a pair from above, without its texts; what they
+   leave is decided by the intersection of the sorted arrays.
+3. Where a tile still has several components, another member may join them. Its components form a family. The sets of all
+   components but the largest of a family, in order of size, fill blocks, and these meet each other and the largest's blocks
+   where sizes can match, by bitmap first.
+
+The order is a heuristic that the result doesn't hang on: a bounded table has the shingles that some map task met often.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import partitions, stash
 from .components import components
@@ -25,17 +31,26 @@ FAN = 256  # members of a tile that share one copy of its smallest
 BLOCK = 512  # sets in a block of a family
 
 
+#: Thresholds from which parts name the tiles.
+STRICT = 0.85
+#: Shingles that the table of frequent ones has at most: of each task, and in all.
+OFTEN_TASK, OFTEN = 20_000, 262_144
+
+
 class Bands:
+    """Bands of sizes, each wider than linked sizes can be apart."""
+
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         ratio = max(1.5, 1.05 * den / num)
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(int(np.ceil(self.low[-1] * ratio)))
-        self.low = np.array(self.low)
+        low = [1]
+        while low[-1] < 1 << 40:
+            low.append(int(np.ceil(low[-1] * ratio)) if low[-1] > 1 else 2)
+        self.low = np.array(low)
         k = 2 * (self.low[1:] - 1) * (den - num) // (den + num)
-        self.spare = k // 12 + (k > 3)  # parts that may be empty without all their empty parts being told
+        self.spare = k // 12 + (k > 3)  # parts that may be empty without all the empty parts being told
         self.parts = k + 1 + self.spare
+        self.strict = num >= STRICT * den
 
     def of(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(indices of sets, their band), for the own band and for the next where it can hold a partner."""
@@ -44,18 +59,16 @@ class Bands:
         return [(np.arange(len(sizes)), own), (near, own[near] + 1)]
 
 
-def signatures(bands: Bands, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) for non-empty sets."""
+def by_parts(bands: Bands, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, index of its set) for non-empty sets: the hash of each part of the shingles."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    sigs, owners = [], []
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    joined = np.concatenate(sets) if sets else np.zeros(0, U)
+    begin, joined = np.cumsum(sizes) - sizes, np.concatenate([np.zeros(0, U), *sets])
+    tiles, owners = [], []
     for at, band in bands.of(sizes):
         if not len(at):
             continue
         n = sizes[at]
-        pick = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        h = joined[pick]
+        h = joined[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         m = bands.parts[band]
         part = (mix(h, 1) % np.repeat(m, n).astype(U)).astype(np.int64)
         key = (np.repeat(np.arange(len(at)), n) << 34) | part
@@ -65,13 +78,89 @@ def signatures(bands: Bands, sets: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mix(h, 2)[order], first)
         who, part = key[first] >> 34, key[first] & ((1 << 34) - 1)
-        told = np.bincount(who, minlength=len(at))
-        for i in np.flatnonzero(m - told > bands.spare[band]).tolist():
+        # one of the parts in which linked sets agree isn't empty, unless both have more empty ones than there are to spare
+        for i in np.flatnonzero(m - np.bincount(who, minlength=len(at)) > bands.spare[band]).tolist():
             empty = np.setdiff1d(np.arange(m[i]), part[who == i])
             who, part, sums = np.append(who, np.full(len(empty), i)), np.append(part, empty), np.append(sums, np.zeros(len(empty), U))
-        sigs.append(mix(sums, 3) ^ mix(mix(part.astype(U), 4) + band[who].astype(U), 5))
+        tiles.append(mix(sums, 3) ^ mix(mix(part.astype(U), 4) + band[who].astype(U), 5))
         owners.append(at[who])
-    return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
+    return np.concatenate([np.zeros(0, U), *tiles]), np.concatenate([np.zeros(0, np.int64), *owners])
+
+
+def signatures(bands: Bands, sets: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, index of its set) for non-empty sets. often: two rows, frequent shingles sorted by hash and their ranks."""
+    if bands.strict:
+        return by_parts(bands, sets)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    if not len(sizes):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    rank = np.zeros(len(h), np.int64)
+    if often.shape[1]:
+        at = np.minimum(np.searchsorted(often[0], h), often.shape[1] - 1)
+        rank = np.where(often[0][at] == h, often[1][at].astype(np.int64), 0)
+    order = np.argsort((who << 24) | rank, kind="stable")
+    begin = np.cumsum(sizes) - sizes
+    keep = sizes + (-bands.num * sizes // bands.den) + 1
+    place = np.arange(len(h)) - np.repeat(begin, sizes)
+    first = place < np.repeat(keep, sizes)
+    h, who = h[order][first], who[first]
+    tiles, owners = [], []
+    for at, band in bands.of(sizes):
+        by = np.full(len(sizes), -1)
+        by[at] = band
+        mine = by[who] >= 0
+        tiles.append(mix(h[mine] ^ mix(by[who[mine]].astype(U), 5), 3))
+        owners.append(who[mine])
+    return np.concatenate(tiles), np.concatenate(owners)
+
+
+def width(size: int) -> int:
+    """Bits of a set's bitmap: twice its size or more."""
+    return 1 << max(8, int(2 * size - 1).bit_length())
+
+
+def room(sizes: tuple[int, int], bits: tuple[bytes, bytes], num: int, den: int) -> bool:
+    """Whether two bitmaps leave room for the overlap. The wider is folded: its positions are the narrower's modulo its width."""
+    x, y = (np.frombuffer(b, U) for b in bits)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    need = -(-num * sum(sizes) // (num + den))
+    return min(sizes) >= need and sizes[0] - int(np.bitwise_count(x & ~y).sum()) >= need and sizes[1] - int(np.bitwise_count(y & ~x).sum()) >= need
+
+
+def frequent(df: DataFrame, n: int) -> np.ndarray:
+    """Shingles that most sets of some map task have, sorted by hash, over their rank by count."""
+    def met(batches):
+        held, size = [], 0
+
+        def told():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            top = np.flatnonzero(c > 2)
+            top = top[np.argsort(-c[top], kind="stable")[:OFTEN_TASK]]
+            return _batch([pa.array(h[top].view(np.int64)), pa.array(c[top], pa.int64())], ["h", "c"])
+
+        seen: set = set()
+        for b in batches:
+            for text in b.column(0):
+                if (text := text.as_py()) and (own := hash(text)) not in seen:
+                    seen.add(own)
+                    s = shingle_set(words(text), n)
+                    held.append(s)
+                    size += len(s)
+                    if size > 4 * FLUSH:
+                        yield told()
+                        held, size, seen = [], 0, set()
+        if held:
+            yield told()
+
+    top = df.select("text").mapInArrow(met, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(OFTEN).toPandas()
+    h = top.h.to_numpy(np.int64).view(U)
+    by = np.argsort(h)
+    ranks = (len(h) - np.arange(len(h))).astype(U)
+    return np.stack([h[by], ranks[by]]) if len(h) else np.zeros((2, 0), U)
 
 
 def stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,21 +189,22 @@ def _batch(cols, names):
 
 
 def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Rows (kind, a, b): 0 an id and its number of shingles, 1 a link, 2 a pair to verify."""
+    """Rows (kind, a, b, bits): 0 an id, its number of shingles and its bitmap, 1 a link, 2 a pair to verify."""
     buckets = 4 * partitions(df.sparkSession)
     names = ["bucket", "kind", "a", "b", "payload"]
+    often = df.sparkSession.sparkContext.broadcast(np.zeros((2, 0), U) if num >= STRICT * den else frequent(df, n))
 
-    def rows(kind, a, b, seed):
+    def rows(kind, a, b, seed, payload=None):
         if len(a):
-            bucket = (np.arange(len(a)) // 4096 + seed) % buckets
-            yield _batch([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names)
+            bucket = (np.arange(len(a)) // 16 + seed) % buckets
+            yield _batch([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(payload, pa.binary()) if payload else pa.nulls(len(a), pa.binary())], names)
 
     def sign(batches):
-        bands, seed = Bands(num, den), 0
+        bands, seed = Bands(num, den), 7919 * TaskContext.get().partitionId()
         ids, sets, known, links, size = [], [], {}, [], 0
 
         def flush():
-            sigs, owner = signatures(bands, sets)
+            sigs, owner = signatures(bands, sets, often.value)
             a, b, sigs, low = stars(sigs, np.array(ids, np.int64)[owner])
             yield from rows(2, a, b, seed)
             yield from rows(1, [x for x, _ in links], [y for _, y in links], seed)
@@ -127,23 +217,25 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 yield _batch([pa.array(full, pa.int32()), pa.array([3] * len(full), pa.int32()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(blobs, pa.binary())], names)
 
         for batch in batches:
-            all_ids, sizes = batch.column(0).to_pylist(), []
+            all_ids, sizes, bits = batch.column(0).to_pylist(), [], []
             for i, text in zip(all_ids, batch.column(1)):
                 s = shingle_set(words(text.as_py()), n)
                 sizes.append(len(s))
+                bits.append(None)
                 if i is None or not len(s):
                     continue
-                same = known.setdefault(s.tobytes() if len(s) < 4 else (len(s), int(mix(s, 21).sum()), int(mix(s, 22).sum())), i)
-                if same is not i:
+                same = known.setdefault((len(s), int(mix(s, 21).sum()), int(mix(s, 22).sum())), i)
+                if same != i:
                     links.append((same, i))
                     continue
+                bits[-1] = bitmap(s, width(len(s))).tobytes()
                 ids.append(i)
                 sets.append(s)
                 size += len(s)
                 if size >= FLUSH:
                     yield from flush()
                     ids, sets, known, links, size, seed = [], [], {}, [], 0, seed + 977
-            yield from rows(0, all_ids, sizes, seed + 31)
+            yield from rows(0, all_ids, sizes, seed + 31, bits)
         yield from flush()
 
     def meet(batches):
@@ -152,9 +244,10 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
             kind = b.column(1).to_numpy()
             if (kind < 3).any():
                 at = np.flatnonzero(kind < 3)
-                yield _batch([b.column(i).take(pa.array(at)) for i in (1, 2, 3)], ["kind", "a", "b"])
-            for blob in b.column(4).to_pylist():
-                if blob:
+                yield _batch([b.column(i).take(pa.array(at)) for i in (1, 2, 3, 4)], ["kind", "a", "b", "bits"])
+            for k, blob in zip(kind.tolist(), b.column(4)):
+                if k == 3:
+                    blob = blob.as_py()
                     half = np.frombuffer(blob, np.int64).reshape(2, -1)
                     sigs.append(half[0].view(U))
                     ids.append(half[1])
@@ -162,10 +255,22 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
             a, b, _, _ = stars(np.concatenate(sigs), np.concatenate(ids))
             for i in range(0, len(a), 100_000):
                 x, y = a[i : i + 100_000], b[i : i + 100_000]
-                yield _batch([pa.array(np.full(len(x), 2, np.int32)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
+                yield _batch([pa.array(np.full(len(x), 2, np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], ["kind", "a", "b", "bits"])
 
     out = df.mapInArrow(sign, "bucket int, kind int, a long, b long, payload binary")
-    return out.repartition(partitions(df.sparkSession), "bucket").mapInArrow(meet, "kind int, a long, b long")
+    return out.repartition(partitions(df.sparkSession), "bucket").mapInArrow(meet, "kind int, a long, b long, bits binary")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps leave room for a link. sets has id, size and bits."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+
+    def run(batches):
+        for b in batches:
+            keep = [room((x, y), (bx, by), num, den) for x, bx, y, by in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -196,23 +301,22 @@ def _verify(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int) -> Data
 
 
 def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links between components of a family: members has id, root and family. Blocks of a family by size, each two compared."""
+    """Links between components of a family: members has id, root, family and main (1 in its largest component)."""
     def measure(batches):
         for b in batches:
-            sizes = [len(shingle_set(words(t), n)) for t in b.column(3).to_pylist()]
-            yield _batch([*b.columns, pa.array(sizes, pa.int64())], ["family", "root", "id", "text", "size"])
+            sizes = [len(shingle_set(words(t), n)) for t in b.column(4).to_pylist()]
+            yield _batch([*b.columns, pa.array(sizes, pa.int64())], ["family", "root", "main", "id", "text", "size"])
 
-    sized = stash(members.join(df, "id").select("family", "root", "id", "text").mapInArrow(measure, "family long, root long, id long, text string, size long"), "jaccard-family")
+    sized = stash(members.join(df, "id").select("family", "root", "main", "id", "text").mapInArrow(measure, "family long, root long, main int, id long, text string, size long"), "jaccard-family")
     # a histogram of sizes gives each size its first block, so no family is sorted in one place
-    count = sized.groupBy("family", "size").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    ahead = F.sum("c").over(Window.partitionBy("family").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    count = sized.groupBy("family", "main", "size").agg(F.count("*").alias("c"))
+    ahead = F.sum("c").over(Window.partitionBy("family", "main").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
     place = count.withColumn("ahead", F.coalesce(ahead, F.lit(0))).withColumn("first", F.floor(F.col("ahead") / BLOCK)).withColumn("last", F.floor((F.col("ahead") + F.col("c") - 1) / BLOCK))
-    blocks = sized.join(place.select("family", "size", "first", "last"), ["family", "size"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1))
+    number = F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1)
+    blocks = sized.join(place.select("family", "main", "size", "first", "last"), ["family", "main", "size"]).withColumn("block", 2 * number + F.col("main"))
     spans = stash(blocks.groupBy("family", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "jaccard-blocks")
-    # blocks only: x meets y if their sizes can match
-    two = spans.select("family", F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")).join(spans.select("family", F.col("block").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "family").filter(F.expr(f"x <= y and xhi * {den} >= ylo * {num} and yhi * {den} >= xlo * {num}"))
+    # blocks only: x meets y if their sizes can match, and never both of the largest component (odd numbers)
+    two = spans.select("family", F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")).join(spans.select("family", F.col("block").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "family").filter(F.expr(f"x <= y and (x % 2 = 0 or y % 2 = 0) and xhi * {den} >= ylo * {num} and yhi * {den} >= xlo * {num}"))
     sides = two.select("family", F.col("x").alias("block"), "x", "y").union(two.filter("x < y").select("family", F.col("y").alias("block"), "x", "y"))
     rows = blocks.select("family", "block", "root", "id", "text").join(sides, ["family", "block"]).repartition(partitions(df.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y").select("family", "x", "y", "block", "root", "id", "text")
 
@@ -271,7 +375,9 @@ def jaccard_components(df: DataFrame, num: int, den: int, n: int, doc_id: str =
     got = stash(_first_round(src, n, num, den), "jaccard-first")
     sure = got.filter("kind = 1").select("a", "b")
     pairs = stash(got.filter("kind = 2").select("a", "b").distinct(), "jaccard-pairs")
-    links = stash(sure.union(_verify(pairs, texts, n, num, den)), "jaccard-links")
+    sets = got.filter("kind = 0 and bits is not null").select(F.col("a").alias("id"), F.col("b").alias("size"), "bits")
+    likely = stash(_plausible(pairs, sets, num, den).distinct(), "jaccard-likely")
+    links = stash(sure.union(_verify(likely, texts, n, num, den)), "jaccard-links")
     root = components(links)
     named = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     apart = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
@@ -281,7 +387,9 @@ def jaccard_components(df: DataFrame, num: int, den: int, n: int, doc_id: str =
         inside = root.select(F.col("node").alias("id"), "root").union(family.select(F.col("root").alias("id"), "root"))
         # a copy of a set that is compared anyway need not be compared again
         copies = sure.select(F.col("b").alias("id")).distinct()
-        members = family.join(inside, "root").select("id", "root", "family").distinct().join(copies, "id", "left_anti")
+        members = stash(family.join(inside, "root").select("id", "root", "family").distinct().join(copies, "id", "left_anti"), "jaccard-members")
+        largest = members.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "root"))["root"].alias("largest"))
+        members = members.join(largest, "family").withColumn("main", (F.col("root") == F.col("largest")).cast("int")).select("id", "root", "family", "main")
         links = stash(links.union(_families(members, texts, n, num, den)), "jaccard-links")
         root = components(links)
     docs = got.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
