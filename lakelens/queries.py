@@ -1,2 +1,149 @@
-QUERIES = {}
-ORACLE = {}
+"""A query for each operator, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .adapters import halves, read, table_views
+from .operators import cases, columnar
+from .operators.catalogue import BY_ID, Config
+from .plans import diff as d
+from .plans.engine import lint
+
+#: Thresholds for tables, whose numbers are smaller than those of files.
+TABLE = Config(min_row_group_rows=20, small_file_bytes=100_000)
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def add(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE[name] = sql
+
+
+def _named(rule: str) -> str:
+    return f"{rule.lower()}_{BY_ID[rule][1].replace('-', '_')}"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the footers of a folder."""
+    return lint(spark, [sf_dir])
+
+
+# --- real footers -----------------------------------------------------------------------------------------------
+
+
+def _footer(rule: str):
+    def query(spark, sf_dir):
+        got = lint(spark, [sf_dir], only=[rule])
+        return got.select("rule_id", F.element_at(F.split("path", "/"), -1).alias("file"), "location")
+
+    query.__doc__ = f"{rule} over the footers of a folder."
+    return query
+
+
+for _rule in ("AL001", "AL002", "AL003", "AL004", "AL005", "AL006", "AL007", "AL008", "AL009", "AL010", "AL011", "AL012", "AL013", "AL014", "AL015", "AL100"):
+    add(_named(_rule), _footer(_rule))
+
+#: The footers of the correctness run, as DuckDB reads them.
+META = "(select distinct regexp_extract(file_name, '[^/]*$') as file, row_group_id g, row_group_num_rows n, path_in_schema p, compression, type, stats_null_count from parquet_metadata('/root/testdata/sf0.01/*.parquet'))"
+ORACLE[_named("AL001")] = f"select distinct 'AL001' rule_id, file, concat('row_group=', g) as location from {META} where n > 0 and n < 100000"
+for _rule, _where in {"AL008": "compression = 'UNCOMPRESSED'", "AL009": "type = 'INT96'", "AL011": "compression = 'LZ4'", "AL014": "stats_null_count is null"}.items():
+    ORACLE[_named(_rule)] = f"select '{_rule}' rule_id, file, concat('row_group=', g, ',column=', p) as location from {META} where {_where}"
+
+# --- tables in the shape of views -------------------------------------------------------------------------------
+
+ENC = "case when l_partkey % 5 = 0 then ['PLAIN_DICTIONARY','RLE'] when l_linestatus = 'O' then ['PLAIN','BIT_PACKED'] else ['RLE_DICTIONARY','PLAIN'] end"
+CHUNK = f"select l_orderkey file_idx, l_linenumber ordinal, concat('c', l_partkey % 7) path, case l_returnflag when 'N' then 'UNCOMPRESSED' when 'R' then 'LZ4' else 'ZSTD' end codec, {ENC} encodings, l_suppkey % 13 <> 0 has, case when l_suppkey % 11 = 0 then null else l_suppkey % 60 end nulls, l_partkey % 70 dist, cast(floor(l_quantity) as bigint) n, cast(floor(l_extendedprice) as bigint) - 20000 packed, cast(floor(l_extendedprice) as bigint) size, case when l_partkey % 17 = 0 then 'INT96' else 'INT64' end phys from lineitem"
+SHOWN = "select '{0}' rule_id, cast(file_idx as integer) file_idx, concat('row_group=', ordinal, ',column=', path) as location from ({1}) c where {2}"
+
+
+def _chunks(rule):
+    return lambda spark, sf_dir: columnar.chunk_rules(table_views(spark, sf_dir), TABLE, [rule]).select("rule_id", "file_idx", "location")
+
+
+for _rule, _where in {"AL002": "not has", "AL008": "codec = 'UNCOMPRESSED'", "AL009": "phys = 'INT96'", "AL010": "list_contains(encodings, 'PLAIN_DICTIONARY') or list_contains(encodings, 'BIT_PACKED')", "AL011": "codec = 'LZ4'", "AL014": "has and nulls is null"}.items():
+    add(f"{_named(_rule)}_tbl", _chunks(_rule), SHOWN.format(_rule, CHUNK, _where))
+for _rule, _wheres in {"AL012": ("has and n >= 0 and nulls > n", "has and n >= 0 and dist > n"), "AL015": ("packed < 0",)}.items():
+    add(f"{_named(_rule)}_tbl", _chunks(_rule), " union all ".join(SHOWN.format(_rule, CHUNK, w) for w in _wheres))
+add("chunk_rules_fused_tbl", lambda spark, sf_dir: columnar.chunk_rules(table_views(spark, sf_dir), TABLE).groupBy("rule_id").agg(F.count("*").alias("n")), "select rule_id, count(*) n from (" + " union all ".join(v for k, v in ORACLE.items() if k.endswith("_tbl")) + ") group by 1")
+
+
+def _kernel(kernel, *columns, views=()):
+    return lambda spark, sf_dir: kernel((v := table_views(spark, sf_dir)) | {a: v[b] for a, b in views}, TABLE).select("rule_id", *columns)
+
+
+FILES = "select cast(o_orderkey as integer) file_idx, case when o_orderstatus = 'F' then 'duckdb' else 'parquet' end format, cast(floor(o_totalprice) as bigint) size, cast(floor(o_totalprice) as bigint) % 200 n from orders"
+PARTS = "select cast(p_partkey as integer) file_idx, p_brand as name, case p_size % 4 when 0 then 'Timestamp(Second, None)' when 1 then 'Timestamp(Microsecond, Some(\"UTC\"))' else 'Int64' end t, p_size % 2 = 0 nullable, p_size % 5 = 0 bare from part"
+add("al001_tiny_row_groups_tbl", _kernel(columnar.tiny_row_groups, "file_idx", "location"), "select 'AL001' rule_id, cast(l_orderkey as integer) file_idx, concat('row_group=', l_linenumber) as location from lineitem where floor(l_quantity) > 0 and floor(l_quantity) < 20")
+add("al003_inconsistent_schemas_tbl", _kernel(columnar.inconsistent_schemas, "file_idx", views=[("files", "typed")]), f"with p as ({PARTS}), b as (select name, t, nullable from p order by file_idx limit 1) select 'AL003' rule_id, p.file_idx from p, b where (p.name, p.t, p.nullable) <> (b.name, b.t, b.nullable)")
+add("al004_missing_schema_metadata_tbl", _kernel(columnar.missing_schema_metadata, "file_idx", views=[("files", "typed")]), f"select 'AL004' rule_id, file_idx from ({PARTS}) where bare")
+add("al005_non_portable_timestamps_tbl", _kernel(columnar.nonportable_timestamps, "file_idx", "message", "location"), f"select 'AL005' rule_id, file_idx, case when t like '%Second, %' and t like 'Timestamp(Second%' then 'timestamp has second resolution' else 'timestamp has a time zone' end message, concat('field=', name) as location from ({PARTS}) where t like 'Timestamp(%'")
+add("al006_mixed_dictionary_encodings_tbl", _kernel(columnar.mixed_dictionary, "file_idx", "location"), f"select 'AL006' rule_id, cast(file_idx as integer) file_idx, concat('column=', path) as location from ({CHUNK}) group by file_idx, path having min(list_has_any(encodings, ['PLAIN_DICTIONARY','RLE_DICTIONARY'])) <> max(list_has_any(encodings, ['PLAIN_DICTIONARY','RLE_DICTIONARY']))")
+add("al007_small_files_tbl", _kernel(columnar.small_files, "message"), f"select 'AL007' rule_id, concat(count(*), ' files are small') message from ({FILES}) where format = 'parquet' and size > 0 and size < 100000 having count(*) > 1")
+add("al013_row_count_mismatch_tbl", _kernel(columnar.row_counts, "file_idx"), f"select 'AL013' rule_id, f.file_idx from ({FILES}) f left join (select l_orderkey k, sum(floor(l_quantity)) total from lineitem group by 1) g on g.k = f.file_idx where f.format = 'parquet' and coalesce(g.total, 0) <> f.n")
+add("al100_recognized_extension_format_tbl", _kernel(columnar.extension_format, "file_idx"), f"select 'AL100' rule_id, file_idx from ({FILES}) where format = 'duckdb'")
+add("declarative_rule_tbl", lambda spark, sf_dir: columnar.declared((v := table_views(spark, sf_dir)) | {"files": v["logged"]}, TABLE, {"rule": "ORG001", "severity": "error", "check": {"metadata_key": "k1"}, "applies_to": ["parquet"]}).select("rule_id", "file_idx", "severity"), "select 'ORG001' rule_id, cast(event_id as integer) file_idx, 'error' severity from events where cast(json_extract_string(props, '$.k') as integer) % 3 <> 1")
+
+# --- relational forms of the document rules ---------------------------------------------------------------------
+
+add("al103_unknown_references_tbl", lambda spark, sf_dir: read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(read(spark, sf_dir, "part").filter("p_size <= 25").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_anti"), "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_size <= 25)")
+add("al104_duplicate_identifiers_tbl", lambda spark, sf_dir: read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1"), "select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2 having count(*) > 1")
+add("al105_snapshot_log_tbl", lambda spark, sf_dir: columnar.ordered_log(read(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts"), "user_id", ["value", "event_id"], "ts").select("event_id", "user_id"), "select event_id, user_id from (select *, lag(ts ignore nulls) over (partition by user_id order by value, event_id) before from events) where ts <= before")
+
+
+def _signatures(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    return lines.withColumn("before", F.lag("l_returnflag").over(w)).filter("before <> l_returnflag").groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
+add("al106_reused_field_ids_tbl", _signatures, "select l_partkey, count(*) n from (select l_partkey, l_returnflag, lag(l_returnflag) over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice, l_returnflag) before from lineitem) where before <> l_returnflag group by 1")
+add("al107_maintenance_tbl", lambda spark, sf_dir: read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 10"), "select user_id, count(*) n from events group by 1 having count(*) > 10")
+
+
+def _repeats(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_extendedprice", "l_partkey", "l_suppkey")
+    return lines.withColumn("k", F.row_number().over(w)).filter("k > 1").select("l_orderkey", "l_linenumber", "k")
+
+
+add("al202_repeated_fragments_tbl", _repeats, "select l_orderkey, l_linenumber, k from (select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey, l_linenumber order by l_extendedprice, l_partkey, l_suppkey) as integer) k from lineitem) where k > 1")
+add("al304_segment_order_tbl", lambda spark, sf_dir: read(spark, sf_dir, "events").withColumn("before", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))).filter("value < before").select("user_id", "event_id"), "select user_id, event_id from (select *, lag(value) over (partition by user_id order by event_id) before from events) where value < before")
+
+# --- documents --------------------------------------------------------------------------------------------------
+
+
+def _documents(rule: str):
+    def query(spark, sf_dir):
+        def run(batches):
+            for b in batches:
+                got = [(c, sum(f[0] == rule for f in cases.check(form, doc))) for form, c, doc in zip(*(x.to_pylist() for x in b.columns))]
+                got = [g for g in got if g[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], names=["case_name", "n"])
+
+        return spark.createDataFrame(cases.cases(), "format string, case_name string, doc string").mapInArrow(run, "case_name string, n long")
+
+    query.__doc__ = f"How often {rule} fires in each document of cases.py."
+    return query
+
+
+for _rule, _by in cases.EXPECTED.items():
+    add(f"{_named(_rule)}_documents", _documents(_rule), f"select case_name, cast(n as bigint) n from (values {', '.join(f"('{c}', {n})" for c, n in _by.items())}) t(case_name, n)")
+
+# --- comparison -------------------------------------------------------------------------------------------------
+
+SIDE = "select *, file_idx % 2 side from ({0})"
+add("diff_summary_tbl", lambda spark, sf_dir: d.summary(halves(spark, sf_dir)[0]), f"select string_agg(distinct format, ',' order by format) formats, count(*) file_count, cast(sum(n) as bigint) num_rows, cast(sum(size) as bigint) size_bytes from ({FILES}) where file_idx % 2 = 0")
+_first = "select name, arg_max(t, file_idx) t, arg_max(nullable, file_idx) nullable from (" + PARTS + ") where file_idx % 2 = {0} group by name"
+add("diff_schema_tbl", lambda spark, sf_dir: d.schema_changes(*halves(spark, sf_dir)), f"select coalesce(a.name, b.name) as name, case when a.name is null then 'added' when b.name is null then 'removed' else 'changed' end as change, a.t old_type, b.t new_type from ({_first.format(0)}) a full join ({_first.format(1)}) b on a.name = b.name where a.name is null or b.name is null or (a.t, a.nullable) <> (b.t, b.nullable)")
+_cols = f"select path, n, has, nulls, dist, st, sum(case when side = 0 then 1 else -1 end) d, sum(1 - side) o, sum(side) w from (select c.*, file_idx % 2 side from ({CHUNK.replace(' phys from', ' phys, l_linestatus st from')}) c) group by all"
+add("diff_columns_tbl", lambda spark, sf_dir: d.changed_columns(*halves(spark, sf_dir)), f"select path from ({_cols}) group by path having bool_or(d <> 0) and sum(o) > 0 and sum(w) > 0")
+_kv = "select concat('k', cast(json_extract_string(props, '$.k') as integer) % 3) as key, string_agg(distinct event_type, ' | ' order by event_type) v from events where event_id % 2 = {0} group by 1"
+add("diff_metadata_tbl", lambda spark, sf_dir: d.metadata_changes(*halves(spark, sf_dir)), f"select coalesce(a.key, b.key) as key, case when a.key is null then 'added' when b.key is null then 'removed' else 'changed' end as change, a.v old_value, b.v new_value from ({_kv.format(0)}) a full join ({_kv.format(1)}) b on a.key = b.key where a.v is distinct from b.v")
+add("diff_row_groups_tbl", lambda spark, sf_dir: d.row_groups(*halves(spark, sf_dir)), "select cast(sum(o) as bigint) old_count, cast(sum(w) as bigint) new_count, bool_or(o <> w) changed from (select floor(l_quantity) a, floor(l_extendedprice) b, sum(case when l_orderkey % 2 = 0 then 1 else 0 end) o, sum(l_orderkey % 2) w from lineitem group by 1, 2)")
+add("diff_compression_tbl", lambda spark, sf_dir: d.compression(halves(spark, sf_dir)[1]), f"select string_agg(distinct codec, ',' order by codec) codecs from ({CHUNK}) where file_idx % 2 = 1")
+add("diff_scan_cost_tbl", lambda spark, sf_dir: d.scan_cost(halves(spark, sf_dir)[0]), f"select cast(sum(case when coalesce(c, 0) > 0 then c else size end) as bigint) as cost from ({FILES}) f left join (select file_idx k, sum(greatest(packed, 0)) c from ({CHUNK}) group by 1) g on g.k = f.file_idx where f.file_idx % 2 = 0")
+add("lint_all", flagship)
