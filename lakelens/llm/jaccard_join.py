@@ -5,10 +5,10 @@
    agree in a whole part, and its hash names the tile. Below STRICT parts would be too small to tell sets apart. There
    shingles have an order, by how often they were met, rarest first, then by hash; of a set of size s, linked sets share one
    of the first s - ceil(threshold * s) + 1, and each of these names a tile.
-2. In a tile all are compared with its smallest id, first within a map task (so that a hot tile shrinks before the shuffle),
-   then across tasks. Bit counts of the hashed bitmaps bound the overlap of a pair from above, without its texts; what they
+2. In a small tile all are compared with each other, in a large one with its smallest id, first within a map task (so that a
+   hot tile shrinks before the shuffle), then across tasks. Bit counts of the hashed bitmaps bound the overlap of a pair from above, without its texts; what they
    leave is decided by the intersection of the sorted arrays.
-3. Where a tile still has several components, another member may join them. Its components form a family. The sets of all
+3. Where a large tile still has several components, another member may join them. Its components form a family. The sets of all
    components but the largest of a family, in order of size, fill blocks, and these meet each other and the largest's blocks
    where sizes can match, by bitmap first.
 
@@ -27,6 +27,7 @@ from .components import components
 from .shingles import U, bitmap, mix, shingle_set, words
 
 FLUSH = 1_500_000  # shingles that a map task signs at a time
+NARROW, ALL_PAIRS = 4, 16  # ids of a tile that all go on from a map task; that are all compared with each other
 FAN = 256  # members of a tile that share one copy of its smallest
 BLOCK = 512  # sets in a block of a family
 
@@ -163,15 +164,36 @@ def frequent(df: DataFrame, n: int) -> np.ndarray:
     return np.stack([h[by], ranks[by]]) if len(h) else np.zeros((2, 0), U)
 
 
-def stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(smallest id, other id) for each signature with several, without repeats; then each signature once, with its smallest."""
-    order = np.lexsort((ids, sigs))
-    sigs, ids = sigs[order], ids[order]
-    first = np.concatenate([[True], sigs[1:] != sigs[:-1]])[: len(sigs)]
-    low = ids[first][np.cumsum(first) - 1] if len(ids) else ids
-    other = low != ids
-    pairs = np.unique(np.stack([low[other], ids[other]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1], sigs[first], ids[first]
+def tiles(sigs: np.ndarray, ids: np.ndarray, most: int):
+    """Deals ids to tiles by signature without its lowest bit, which marks an id that stands for several. Gives the order by
+    tile and id, the sorted ids, where tiles begin, each row's tile, and which tiles have more than most ids or a mark."""
+    order = np.lexsort((ids, sigs >> U(1)))
+    key, ids = sigs[order] >> U(1), ids[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    size = np.diff(np.append(begin, len(key)))
+    wide = (size > most) | (np.maximum.reduceat(sigs[order] & U(1), begin) > 0) if len(key) else np.zeros(0, bool)
+    return order, ids, begin, np.repeat(np.arange(len(begin)), size), wide
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def stars(ids, begin, at, wide) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id, other id) of the wide tiles."""
+    mine = wide[at] if len(at) else np.zeros(0, bool)
+    return distinct(ids[begin][at][mine] if len(at) else ids, ids[mine])
+
+
+def all_pairs(ids, at, wide, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the other tiles."""
+    a, b = [], []
+    for d in range(1, most):
+        i = np.flatnonzero((at[d:] == at[:-d]) & ~wide[at[d:]]) if len(at) > d else np.zeros(0, np.int64)
+        a.append(ids[i])
+        b.append(ids[i + d])
+    return distinct(np.concatenate(a), np.concatenate(b))
 
 
 def linked(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, num: int, den: int) -> bool:
@@ -189,7 +211,8 @@ def _batch(cols, names):
 
 
 def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Rows (kind, a, b, bits): 0 an id, its number of shingles and its bitmap, 1 a link, 2 a pair to verify."""
+    """Rows (kind, a, b, bits): 0 an id, its number of shingles and its bitmap, 1 a link, 2 a pair to verify, 4 one
+    of a tile whose other pairs aren't here."""
     buckets = 4 * partitions(df.sparkSession)
     names = ["bucket", "kind", "a", "b", "payload"]
     often = df.sparkSession.sparkContext.broadcast(np.zeros((2, 0), U) if num >= STRICT * den else frequent(df, n))
@@ -205,10 +228,16 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
         def flush():
             sigs, owner = signatures(bands, sets, often.value)
-            a, b, sigs, low = stars(sigs, np.array(ids, np.int64)[owner])
-            yield from rows(2, a, b, seed)
+            order, low, begin, at, wide = tiles(sigs & ~U(1), np.array(ids, np.int64)[owner], NARROW)
+            yield from rows(4, *stars(low, begin, at, wide), seed)
+            # of a wide tile only the smallest goes on, marked
+            sigs = (sigs[order] & ~U(1)) | wide[at].astype(U) if len(at) else sigs
+            stay = np.zeros(len(at), bool)
+            stay[begin] = True
+            stay |= ~wide[at] if len(at) else stay
+            sigs, low = sigs[stay], low[stay]
             yield from rows(1, [x for x, _ in links], [y for _, y in links], seed)
-            bucket = (sigs % U(buckets)).astype(np.int64)
+            bucket = ((sigs >> U(1)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = [i for i in range(buckets) if cut[i] < cut[i + 1]]
@@ -242,8 +271,8 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
         sigs, ids = [], []
         for b in batches:
             kind = b.column(1).to_numpy()
-            if (kind < 3).any():
-                at = np.flatnonzero(kind < 3)
+            if (kind != 3).any():
+                at = np.flatnonzero(kind != 3)
                 yield _batch([b.column(i).take(pa.array(at)) for i in (1, 2, 3, 4)], ["kind", "a", "b", "bits"])
             for k, blob in zip(kind.tolist(), b.column(4)):
                 if k == 3:
@@ -252,10 +281,11 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     sigs.append(half[0].view(U))
                     ids.append(half[1])
         if sigs:
-            a, b, _, _ = stars(np.concatenate(sigs), np.concatenate(ids))
-            for i in range(0, len(a), 100_000):
-                x, y = a[i : i + 100_000], b[i : i + 100_000]
-                yield _batch([pa.array(np.full(len(x), 2, np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], ["kind", "a", "b", "bits"])
+            _, low, begin, at, wide = tiles(np.concatenate(sigs), np.concatenate(ids), ALL_PAIRS)
+            for k, (a, b) in ((2, all_pairs(low, at, wide, ALL_PAIRS)), (4, stars(low, begin, at, wide))):
+                for i in range(0, len(a), 100_000):
+                    x, y = a[i : i + 100_000], b[i : i + 100_000]
+                    yield _batch([pa.array(np.full(len(x), k, np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], ["kind", "a", "b", "bits"])
 
     out = df.mapInArrow(sign, "bucket int, kind int, a long, b long, payload binary")
     return out.repartition(partitions(df.sparkSession), "bucket").mapInArrow(meet, "kind int, a long, b long, bits binary")
@@ -374,12 +404,12 @@ def jaccard_components(df: DataFrame, num: int, den: int, n: int, doc_id: str =
     texts = src.filter("id is not null and text is not null")
     got = stash(_first_round(src, n, num, den), "jaccard-first")
     sure = got.filter("kind = 1").select("a", "b")
-    pairs = stash(got.filter("kind = 2").select("a", "b").distinct(), "jaccard-pairs")
+    pairs = stash(got.filter("kind in (2, 4)").groupBy("a", "b").agg(F.max("kind").alias("kind")), "jaccard-pairs")
     sets = got.filter("kind = 0 and bits is not null").select(F.col("a").alias("id"), F.col("b").alias("size"), "bits")
-    likely = stash(_plausible(pairs, sets, num, den).distinct(), "jaccard-likely")
+    likely = stash(_plausible(pairs.select("a", "b"), sets, num, den), "jaccard-likely")
     links = stash(sure.union(_verify(likely, texts, n, num, den)), "jaccard-links")
     root = components(links)
-    named = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    named = pairs.filter("kind = 4").select("a", "b").join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     apart = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
     family = components(apart, "jaccard-families")
     if not family.isEmpty():
