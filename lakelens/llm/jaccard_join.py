@@ -27,11 +27,13 @@ from .components import components
 from .shingles import U, bitmap, mix, shingle_set, words
 
 FLUSH = 1_500_000  # shingles that a map task signs at a time
-NARROW, ALL_PAIRS = 4, 16  # ids of a tile that all go on from a map task; that are all compared with each other
+NARROW, ALL_PAIRS = 3, 4  # ids of a tile that all go on from a map task; that are all compared with each other
 FAN = 256  # members of a tile that share one copy of its smallest
 BLOCK = 512  # sets in a block of a family
 
 
+#: Bits of the table that filters texts by id.
+FILTER = 1 << 26
 #: Thresholds from which parts name the tiles.
 STRICT = 0.85
 #: Shingles that the table of frequent ones has at most: of each task, and in all.
@@ -303,12 +305,23 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long")
 
 
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is among ids, and few others: ids set bits of a table of at most FILTER bits (8 MB), which is
+    broadcast, so that texts that nothing asks for aren't shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER))
+    spot = lambda d: d.withColumn("__part", F.shiftright(place, 15)).withColumn("__bit", place.bitwiseAND(32_767))
+    parts = spot(ids.select("id")).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = spot(df).join(F.broadcast(parts), "__part").filter(byte.bitwiseAND(F.pow(2, F.col("__bit") % 8).cast("int")) != 0)
+    return hit.select(df.columns)
+
+
 def _verify(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are linked. Members of a large tile go to several copies of its smallest."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("copies"))
     dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).alias("s"), "b")
     need = dealt.select("a", "s", F.col("b").alias("id"), F.lit(1).alias("member")).union(dealt.select("a", "s", F.col("a").alias("id"), F.lit(0).alias("member")).distinct())
-    rows = need.join(df, "id").repartition(partitions(df.sparkSession), "a", "s").sortWithinPartitions("a", "s", "member").select("a", "s", "member", "id", "text")
+    rows = need.join(_only(df, need), "id").repartition(partitions(df.sparkSession), "a", "s").sortWithinPartitions("a", "s", "member").select("a", "s", "member", "id", "text")
 
     def run(batches):
         key, heads = None, []
@@ -337,7 +350,7 @@ def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) ->
             sizes = [len(shingle_set(words(t), n)) for t in b.column(4).to_pylist()]
             yield _batch([*b.columns, pa.array(sizes, pa.int64())], ["family", "root", "main", "id", "text", "size"])
 
-    sized = stash(members.join(df, "id").select("family", "root", "main", "id", "text").mapInArrow(measure, "family long, root long, main int, id long, text string, size long"), "jaccard-family")
+    sized = stash(members.join(_only(df, members), "id").select("family", "root", "main", "id", "text").mapInArrow(measure, "family long, root long, main int, id long, text string, size long"), "jaccard-family")
     # a histogram of sizes gives each size its first block, so no family is sorted in one place
     count = sized.groupBy("family", "main", "size").agg(F.count("*").alias("c"))
     ahead = F.sum("c").over(Window.partitionBy("family", "main").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
