@@ -5,7 +5,7 @@
    agree in a whole part, and its hash names the tile. Below STRICT parts would be too small to tell sets apart. There
    shingles have an order, by how often they were met, rarest first, then by hash; of a set of size s, linked sets share one
    of the first s - ceil(threshold * s) + 1, and each of these names a tile.
-2. In a small tile all are compared with each other, in a large one with its smallest id, first within a map task (so that a
+2. In a small tile all are compared with each other (below STRICT, where the shingles that follow the tile's leave room), in a large one with its smallest id, first within a map task (so that a
    hot tile shrinks before the shuffle), then across tasks. Bit counts of the hashed bitmaps bound the overlap of a pair from above, without its texts; what they
    leave is decided by the intersection of the sorted arrays.
 3. Where a large tile still has several components, another member may join them. Its components form a family. The sets of all
@@ -90,13 +90,14 @@ def by_parts(bands: Bands, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([np.zeros(0, U), *tiles]), np.concatenate([np.zeros(0, np.int64), *owners])
 
 
-def signatures(bands: Bands, sets: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tile, index of its set) for non-empty sets. often: two rows, frequent shingles sorted by hash and their ranks."""
+def signatures(bands: Bands, sets: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(tile, index of its set, ends) for non-empty sets. often: two rows, frequent shingles sorted by hash and their ranks.
+    Below STRICT, ends holds the set's size, shifted by 32, and how many of its shingles the order has from the tile's on."""
     if bands.strict:
-        return by_parts(bands, sets)
+        return *by_parts(bands, sets), None
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     if not len(sizes):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     rank = np.zeros(len(h), np.int64)
     if often.shape[1]:
@@ -108,14 +109,17 @@ def signatures(bands: Bands, sets: list[np.ndarray], often: np.ndarray) -> tuple
     place = np.arange(len(h)) - np.repeat(begin, sizes)
     first = place < np.repeat(keep, sizes)
     h, who = h[order][first], who[first]
-    tiles, owners = [], []
+    size = sizes[who]
+    end = (size << 32) | (size - place[first])
+    tiles, owners, ends = [], [], []
     for at, band in bands.of(sizes):
         by = np.full(len(sizes), -1)
         by[at] = band
         mine = by[who] >= 0
         tiles.append(mix(h[mine] ^ mix(by[who[mine]].astype(U), 5), 3))
         owners.append(who[mine])
-    return np.concatenate(tiles), np.concatenate(owners)
+        ends.append(end[mine])
+    return np.concatenate(tiles), np.concatenate(owners), np.concatenate(ends)
 
 
 def width(size: int) -> int:
@@ -188,11 +192,20 @@ def stars(ids, begin, at, wide) -> tuple[np.ndarray, np.ndarray]:
     return distinct(ids[begin][at][mine] if len(at) else ids, ids[mine])
 
 
-def all_pairs(ids, at, wide, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of the other tiles."""
+def ahead(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets with these ends can be linked if the tile's shingle is the first in order that they share. A linked pair
+    meets in the tile of that one, so what other tiles leave out is found there."""
+    need = -(-num * ((x >> 32) + (y >> 32)) // (num + den))
+    return np.minimum(x & 0xFFFFFFFF, y & 0xFFFFFFFF) >= need
+
+
+def all_pairs(ids, at, wide, most: int, able=None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the other tiles; able, if given, tells which of two arrays of rows can be linked."""
     a, b = [], []
     for d in range(1, most):
         i = np.flatnonzero((at[d:] == at[:-d]) & ~wide[at[d:]]) if len(at) > d else np.zeros(0, np.int64)
+        if able is not None:
+            i = i[able(i, i + d)]
         a.append(ids[i])
         b.append(ids[i + d])
     return distinct(np.concatenate(a), np.concatenate(b))
@@ -215,9 +228,9 @@ def _batch(cols, names):
 def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Rows (kind, a, b, bits): 0 an id, its number of shingles and its bitmap, 1 a link, 2 a pair to verify, 4 one
     of a tile whose other pairs aren't here."""
-    buckets = 4 * partitions(df.sparkSession)
+    buckets, strict = 4 * partitions(df.sparkSession), num >= STRICT * den
     names = ["bucket", "kind", "a", "b", "payload"]
-    often = df.sparkSession.sparkContext.broadcast(np.zeros((2, 0), U) if num >= STRICT * den else frequent(df, n))
+    often = df.sparkSession.sparkContext.broadcast(np.zeros((2, 0), U) if strict else frequent(df, n))
 
     def rows(kind, a, b, seed, payload=None):
         if len(a):
@@ -229,7 +242,7 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
         ids, sets, known, links, size = [], [], {}, [], 0
 
         def flush():
-            sigs, owner = signatures(bands, sets, often.value)
+            sigs, owner, ends = signatures(bands, sets, often.value)
             order, low, begin, at, wide = tiles(sigs & ~U(1), np.array(ids, np.int64)[owner], NARROW)
             yield from rows(4, *stars(low, begin, at, wide), seed)
             # of a wide tile only the smallest goes on, marked
@@ -238,12 +251,14 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
             stay[begin] = True
             stay |= ~wide[at] if len(at) else stay
             sigs, low = sigs[stay], low[stay]
+            ends = None if ends is None else ends[order][stay]
             yield from rows(1, [x for x, _ in links], [y for _, y in links], seed)
             bucket = ((sigs >> U(1)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            blobs = [sigs[(o := order[cut[i] : cut[i + 1]])].tobytes() + low[o].tobytes() for i in full]
+            cols = [c for c in (sigs, low, ends) if c is not None]
+            blobs = [b"".join(c[order[cut[i] : cut[i + 1]]].tobytes() for c in cols) for i in full]
             if full:
                 yield _batch([pa.array(full, pa.int32()), pa.array([3] * len(full), pa.int32()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(blobs, pa.binary())], names)
 
@@ -270,7 +285,7 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
         yield from flush()
 
     def meet(batches):
-        sigs, ids = [], []
+        cols = []
         for b in batches:
             kind = b.column(1).to_numpy()
             if (kind != 3).any():
@@ -278,13 +293,13 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 yield _batch([b.column(i).take(pa.array(at)) for i in (1, 2, 3, 4)], ["kind", "a", "b", "bits"])
             for k, blob in zip(kind.tolist(), b.column(4)):
                 if k == 3:
-                    blob = blob.as_py()
-                    half = np.frombuffer(blob, np.int64).reshape(2, -1)
-                    sigs.append(half[0].view(U))
-                    ids.append(half[1])
-        if sigs:
-            _, low, begin, at, wide = tiles(np.concatenate(sigs), np.concatenate(ids), ALL_PAIRS)
-            for k, (a, b) in ((2, all_pairs(low, at, wide, ALL_PAIRS)), (4, stars(low, begin, at, wide))):
+                    cols.append(np.frombuffer(blob.as_py(), np.int64).reshape(2 if strict else 3, -1))
+        if cols:
+            sigs, ids, *ends = np.concatenate(cols, 1)
+            order, low, begin, at, wide = tiles(sigs.view(U), ids, ALL_PAIRS)
+            ends = ends[0][order] if ends else None
+            able = None if strict else lambda i, j: ahead(ends[i], ends[j], num, den)
+            for k, (a, b) in ((2, all_pairs(low, at, wide, ALL_PAIRS, able)), (4, stars(low, begin, at, wide))):
                 for i in range(0, len(a), 100_000):
                     x, y = a[i : i + 100_000], b[i : i + 100_000]
                     yield _batch([pa.array(np.full(len(x), k, np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], ["kind", "a", "b", "bits"])
