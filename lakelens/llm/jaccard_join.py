@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import partitions, stash
+from .common import partitions, stash, trimmed
 from .components import components
 from .shingles import U, bitmap, mix, shingle_set, words
 
@@ -163,7 +163,7 @@ def frequent(df: DataFrame, n: int) -> np.ndarray:
         if held:
             yield told()
 
-    top = df.select("text").mapInArrow(met, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(OFTEN).toPandas()
+    top = df.select("text").mapInArrow(trimmed(met), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(OFTEN).toPandas()
     h = top.h.to_numpy(np.int64).view(U)
     by = np.argsort(h)
     ranks = (len(h) - np.arange(len(h))).astype(U)
@@ -304,8 +304,8 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     x, y = a[i : i + 100_000], b[i : i + 100_000]
                     yield _batch([pa.array(np.full(len(x), k, np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], ["kind", "a", "b", "bits"])
 
-    out = df.mapInArrow(sign, "bucket int, kind int, a long, b long, payload binary")
-    return out.repartition(partitions(df.sparkSession), "bucket").mapInArrow(meet, "kind int, a long, b long, bits binary")
+    out = df.mapInArrow(trimmed(sign), "bucket int, kind int, a long, b long, payload binary")
+    return out.repartition(partitions(df.sparkSession), "bucket").mapInArrow(trimmed(meet), "kind int, a long, b long, bits binary")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
             keep = [room((x, y), (bx, by), num, den) for x, bx, y, by in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def _verify(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int) -> Data
                     ob.append(ids[i])
             yield _batch([pa.array(oa, pa.int64()), pa.array(ob, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -365,7 +365,7 @@ def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) ->
             sizes = [len(shingle_set(words(t), n)) for t in b.column(4).to_pylist()]
             yield _batch([*b.columns, pa.array(sizes, pa.int64())], ["family", "root", "main", "id", "text", "size"])
 
-    sized = stash(members.join(_only(df, members), "id").select("family", "root", "main", "id", "text").mapInArrow(measure, "family long, root long, main int, id long, text string, size long"), "jaccard-family")
+    sized = stash(members.join(_only(df, members), "id").select("family", "root", "main", "id", "text").mapInArrow(trimmed(measure), "family long, root long, main int, id long, text string, size long"), "jaccard-family")
     # a histogram of sizes gives each size its first block, so no family is sorted in one place
     count = sized.groupBy("family", "main", "size").agg(F.count("*").alias("c"))
     ahead = F.sum("c").over(Window.partitionBy("family", "main").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
@@ -418,7 +418,7 @@ def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) ->
                 group.append((i, r, block, text))
         yield done()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_components(df: DataFrame, num: int, den: int, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
