@@ -5,9 +5,10 @@
    agree in a whole part, and its hash names the tile. Below STRICT parts would be too small to tell sets apart. There
    shingles have an order, by how often they were met, rarest first, then by hash; of a set of size s, linked sets share one
    of the first s - ceil(threshold * s) + 1, and each of these names a tile.
-2. In a small tile all are compared with each other (below STRICT, where the shingles that follow the tile's leave room), in a large one with its smallest id, first within a map task (so that a
-   hot tile shrinks before the shuffle), then across tasks. Bit counts of the hashed bitmaps bound the overlap of a pair from above, without its texts; what they
-   leave is decided by the intersection of the sorted arrays.
+2. In a small tile all are compared with each other (below STRICT, where the tile's shingle may be the first that both share,
+   and those that follow leave room), in a large one with its smallest id, first within a map task (so that a hot tile shrinks
+   before the shuffle), then across tasks. Bit counts of the hashed bitmaps bound the overlap of a pair from above, without
+   its texts; what they leave is decided by the intersection of the sorted arrays.
 3. Where a large tile still has several components, another member may join them. Its components form a family. The sets of all
    components but the largest of a family, in order of size, fill blocks, and these meet each other and the largest's blocks
    where sizes can match, by bitmap first.
@@ -36,6 +37,8 @@ BLOCK = 512  # sets in a block of a family
 FILTER = 1 << 26
 #: Thresholds from which parts name the tiles.
 STRICT = 0.85
+#: Bits of an end below STRICT; sizes and places have 5 more for what their first bits leave out.
+SIZE, PLACE, BEFORE = 10, 6, 38
 #: Shingles that the table of frequent ones has at most: of each task, and in all.
 OFTEN_TASK, OFTEN = 20_000, 262_144
 
@@ -92,7 +95,8 @@ def by_parts(bands: Bands, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
 
 def signatures(bands: Bands, sets: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(tile, index of its set, ends) for non-empty sets. often: two rows, frequent shingles sorted by hash and their ranks.
-    Below STRICT, ends holds the set's size, shifted by 32, and how many of its shingles the order has from the tile's on."""
+    Below STRICT, ends holds the set's size, the place of the tile's shingle in the order, and a hash of the one before it
+    (0 for none), in SIZE, PLACE and BEFORE bits."""
     if bands.strict:
         return *by_parts(bands, sets), None
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -110,7 +114,9 @@ def signatures(bands: Bands, sets: list[np.ndarray], often: np.ndarray) -> tuple
     first = place < np.repeat(keep, sizes)
     h, who = h[order][first], who[first]
     size = sizes[who]
-    end = (size << 32) | (size - place[first])
+    before = np.concatenate([np.zeros(1, U), mix(h, 9)[:-1] >> U(64 - BEFORE)])[: len(h)]
+    before = np.where(place[first] > 0, np.maximum(before, U(1)), U(0))
+    end = (((coarse(size, SIZE) << PLACE + 5 | coarse(place[first], PLACE)).astype(U) << U(BEFORE)) | before).view(np.int64)
     tiles, owners, ends = [], [], []
     for at, band in bands.of(sizes):
         by = np.full(len(sizes), -1)
@@ -192,11 +198,29 @@ def stars(ids, begin, at, wide) -> tuple[np.ndarray, np.ndarray]:
     return distinct(ids[begin][at][mine] if len(at) else ids, ids[mine])
 
 
+def coarse(n: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers with their first bits only, in bits + 5 bits: how many are left out, then those."""
+    out = np.maximum(np.frexp(n.astype(np.float64))[1].astype(np.int64) - bits, 0)
+    return out << bits | n >> out
+
+
+def span(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest number with that code."""
+    out, top = code >> bits, code & ((1 << bits) - 1)
+    return top << out, (top + 1 << out) - 1
+
+
 def ahead(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sets with these ends can be linked if the tile's shingle is the first in order that they share. A linked pair
-    meets in the tile of that one, so what other tiles leave out is found there."""
-    need = -(-num * ((x >> 32) + (y >> 32)) // (num + den))
-    return np.minimum(x & 0xFFFFFFFF, y & 0xFFFFFFFF) >= need
+    """Whether sets with these ends can be linked if the tile's shingle is the first in order that they share; it isn't where
+    both have the same one before it. A linked pair meets in the tile of that one, so what other tiles leave out is found there.
+    Different shingles agree in BEFORE bits in 4 of 10^12 cases."""
+    x, y = x.view(U), y.view(U)
+    fresh = (x ^ y) & U((1 << BEFORE) - 1)
+    alone = (x & U((1 << BEFORE) - 1)) == 0
+    (low_x, most_x), (low_y, most_y) = (span((e >> U(BEFORE + PLACE + 5)).astype(np.int64), SIZE) for e in (x, y))
+    place_x, place_y = (span((e >> U(BEFORE)).astype(np.int64) & ((1 << PLACE + 5) - 1), PLACE)[0] for e in (x, y))
+    need = -(-num * (low_x + low_y) // (num + den))
+    return (alone | (fresh != 0)) & (np.minimum(most_x - place_x, most_y - place_y) >= need)
 
 
 def all_pairs(ids, at, wide, most: int, able=None) -> tuple[np.ndarray, np.ndarray]:

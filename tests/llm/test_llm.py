@@ -286,3 +286,35 @@ def test_pipeline(spark, docs, odd):
     assert cur.count() == p.run(spark, DIR).select("doc_id").distinct().count()
     for f in stages.values():
         f(spark, odd.select(*docs.columns), DIR).count()
+
+
+def test_jaccard_tiles_below_strict_miss_no_link():
+    """Every linked pair meets in a tile in which its ends leave it; ends' rounded numbers hold the true ones."""
+    u, rng = np.uint64, np.random.default_rng(1)
+    numbers = np.concatenate([np.arange(5000), rng.integers(0, 1 << 40, 2000)])
+    for bits in (jaccard_join.SIZE, jaccard_join.PLACE):
+        low, high = jaccard_join.span(jaccard_join.coarse(numbers, bits), bits)
+        assert (low <= numbers).all() and (numbers <= high).all()
+    links = 0
+    for _ in range(40):
+        num, every = int(rng.integers(50, 85)), rng.integers(0, 1 << 63, int(rng.integers(5, 1500))).astype(u)
+        sets = []
+        for base in [rng.choice(every, int(rng.integers(1, len(every) + 1)), replace=False) for _ in range(3)]:
+            for _ in range(5):
+                kept = base[rng.random(len(base)) > rng.random() / 4]
+                sets.append(np.union1d(kept, rng.choice(every, int(len(kept) * rng.random() * 0.15))))
+        sets = [s for s in sets if len(s)]
+        often = np.unique(rng.choice(every, len(every) // 3, replace=False))
+        tile, owner, ends = jaccard_join.signatures(jaccard_join.Bands(num, 100), sets, np.stack([often, rng.permutation(len(often)).astype(u) + u(1)]))
+        a, b = (i.ravel() for i in np.meshgrid(np.arange(len(tile)), np.arange(len(tile)))) if len(tile) < 1500 else np.array([(i, j) for t in np.unique(tile) for i in np.flatnonzero(tile == t) for j in np.flatnonzero(tile == t)]).T
+        same = (tile[a] == tile[b]) & (owner[a] < owner[b])
+        a, b = a[same], b[same]
+        left = jaccard_join.ahead(ends[a], ends[b], num, 100) if len(a) else np.zeros(0, bool)
+        met = set(zip(owner[a][left].tolist(), owner[b][left].tolist()))
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    links += 1
+                    assert (i, j) in met
+    assert links > 300
