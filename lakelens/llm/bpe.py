@@ -11,13 +11,16 @@ import numpy as np
 
 #: White space as Unicode's White_Space property has it (fixed values).
 WHITE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+_WHITE = frozenset(WHITE)
 
 L, N, O, AP0, AP1, AP2, SP_MID, SP_LAST, WS_MID, WS_LAST = range(10)
 # States: what the token that holds the previous character still accepts.
 IN_L, IN_N, IN_O, SPACE_OPEN, IN_WS, NEED1, NEED2, CLOSED = range(8)
 BLOCK = 128
 #: Pre-tokens a worker remembers: the first that it meets, so the frequent ones, and no more, so that its memory is bounded.
-CACHE = 300_000
+CACHE = 200_000
+#: Characters that are split at a time; a longer text is cut where a token is sure to start.
+MOST = 262_144
 
 
 @lru_cache(1)
@@ -70,26 +73,25 @@ def scan(symbols: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     flat = step.ravel()
     rows = -(-n // BLOCK)
-    padded = np.zeros(rows * BLOCK, np.int64)
+    padded = np.zeros(rows * BLOCK, np.uint8)
     padded[:n] = symbols
-    by_col = np.ascontiguousarray(padded.reshape(rows, BLOCK).T) * 8
-    f = np.broadcast_to(np.arange(8, dtype=np.int64), (rows, 8))
+    by_col = np.ascontiguousarray(padded.reshape(rows, BLOCK).T) * np.uint8(8)  # 20 symbols by 8 states fit a byte
+    f = np.broadcast_to(np.arange(8, dtype=np.uint8), (rows, 8))
     for j in range(BLOCK):
         f = flat[by_col[j][:, None] + f]
-    f = f.astype(np.int64)
     gap = 1
     while gap < rows:  # inclusive scan: f[i] becomes f[i] after f[i - gap]
-        later = np.take_along_axis(f[gap:], f[:-gap], 1)
+        later = np.take_along_axis(f[gap:], f[:-gap].astype(np.int64), 1)
         f = np.concatenate([f[:gap], later])
         gap *= 2
-    state = np.full(rows, CLOSED, np.int64)
+    state = np.full(rows, CLOSED, np.uint8)
     state[1:] = f[:-1, CLOSED]
     out = np.empty((BLOCK, rows), bool)
     sflat = start.ravel()
     for j in range(BLOCK):
         at = by_col[j] + state
         out[j] = sflat[at]
-        state = flat[at].astype(np.int64)
+        state = flat[at]
     return out.T.ravel()[:n]
 
 
@@ -231,15 +233,18 @@ class Encoder:
         return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())], starts, per_text
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids before each text with the total last)."""
-        words, _, per_text = self.pieces(texts)
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        w = self.known(words)
-        n = self.len[w]
-        at = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.off[w] - at[:-1], n) + np.arange(at[-1])]
-        return ids, at[per_text]
+        """(ids of all texts as unsigned 32-bit integers, ids before each text with the total last)."""
+        out, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts) + 1, np.int64)
+        for owners, parts in blocks(texts):
+            words, _, per_text = self.pieces(parts)
+            if not words:
+                continue
+            w = self.known(words)
+            n = self.len[w]
+            at = np.concatenate([[0], np.cumsum(n)])
+            out.append(self.flat[np.repeat(self.off[w] - at[:-1], n) + np.arange(at[-1])].astype(np.uint32))
+            np.add.at(sizes, np.array(owners) + 1, np.diff(at[per_text]))
+        return np.concatenate(out), np.cumsum(sizes)
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bytes of all ids, byte offset of each id with the total last)."""
@@ -258,7 +263,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def chunks(texts: list[str], most: int = 1_000_000):
+def chunks(texts: list[str], most: int = MOST):
     """Index ranges of texts with about that many characters together; a longer text stands alone."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -268,3 +273,31 @@ def chunks(texts: list[str], most: int = 1_000_000):
         size += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def sure_start(text: str, at: int) -> int:
+    """The first place from at on, or the end, where a token starts whatever lies further off: a space between two characters
+    that aren't white. No token goes on over such a space and none looks beyond it."""
+    while (at := text.find(" ", max(at, 1))) >= 0:
+        if at + 1 < len(text) and ord(text[at - 1]) not in _WHITE and ord(text[at + 1]) not in _WHITE:
+            return at
+        at += 1
+    return len(text)
+
+
+def blocks(texts: list[str], most: int = MOST):
+    """(indices of texts, parts of them) of about that many characters together, in order."""
+    owners, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        begin = 0
+        while begin < len(t):
+            end = sure_start(t, begin + most) if len(t) - begin > most else len(t)
+            if parts and size + end - begin > most:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+            owners.append(i)
+            parts.append(t[begin:end])
+            size += end - begin
+            begin = end
+    if parts:
+        yield owners, parts

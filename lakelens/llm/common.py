@@ -63,11 +63,29 @@ def with_columns(df: DataFrame, inputs: list[str], fn, fields: list) -> DataFram
 
     def run(batches):
         for whole in batches:
-            for first in range(0, whole.num_rows, 1024):  # small batches, so that little text is held at a time
-                b = whole.slice(first, 1024)
+            for first, n in spans([whole.column(i) for i in at], whole.num_rows):
+                b = whole.slice(first, n)
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + fn([b.column(i) for i in at]), names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
+
+
+def spans(cols: list, rows: int, most_rows: int = 1024, most_bytes: int = 2_000_000):
+    """(first row, rows) of slices with at most so many rows and, unless one row alone has more, so many bytes of strings."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = np.zeros(rows + 1, np.int64)
+    for c in cols:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size[1:] += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    size, first = np.cumsum(size), 0
+    while first < rows:
+        last = min(first + most_rows, int(np.searchsorted(size, size[first] + most_bytes, "right")) - 1)
+        last = max(last, first + 1)
+        yield first, last - first
+        first = last
 
 
 def trimmed(fn):

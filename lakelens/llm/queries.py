@@ -69,9 +69,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_codec import decode, encode
+    from .bpe_codec import encode_decode
 
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS).drop("text"), RANKS)
+    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -318,3 +318,22 @@ def test_jaccard_tiles_below_strict_miss_no_link():
                     links += 1
                     assert (i, j) in met
     assert links > 300
+
+
+def test_bpe_blocks_cut_only_where_tokens_start(monkeypatch, tik):
+    monkeypatch.setattr("lakelens.llm.bpe.blocks.__defaults__", (40,))
+    r, e = random.Random(5), encoder(queries.RANKS)
+    for _ in range(300):
+        texts = [mess(r, r.choice((0, 3, 90, 400))) for _ in range(3)]
+        ids, at = e.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tik.encode_ordinary(t) for t in texts]
+
+
+def test_spans_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    from lakelens.llm.common import spans
+
+    col = pa.array(["a" * n for n in (1, 5, 100, 2, 2, 2, 0)] + [None])
+    assert list(spans([col], 8, 3, 10)) == [(0, 2), (2, 1), (3, 3), (6, 2)]
+    assert list(spans([], 5, 2)) == [(0, 2), (2, 2), (4, 1)] and list(spans([col.slice(0, 0)], 0)) == []
