@@ -14,12 +14,11 @@ PACK_TOKENIZER, PACK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), 5
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules are mined from the pages whose id has a label: of low quality or not."""
+    """Rules are mined from the pages that the fixed list decides, and judge those that it doesn't."""
     from . import url_filter
 
     pages = table(spark, sf_dir, "pages")
-    known = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad")).distinct()
-    rules = url_filter.mine(pages.join(known, pages.page_id == known.doc_id).select("url", "bad"))
+    rules = url_filter.mine(url_filter.labelled(pages))
     return url_filter.judge(pages.select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -95,3 +94,27 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op3_quality_rules, op4_toxicity, op5_packing, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op9_warc, op10_ann)}
 ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every subset of a page's frequent tokens is counted, which is what FP-growth avoids.
+ORACLE["op1_url_filter"] = rf"""
+with parts as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+ruled as (
+  select *, case
+      when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+      when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+      when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
+    list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+      list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || x))) as tokens from parts),
+taught as (select row_number() over () as r, tokens, rule in ('example.com/de/', 'net/') as bad from ruled where rule is not null),
+total as (select count(*)::double as n, count(*) filter (bad) as b, ceil(greatest(0.002::double, 10::double / count(*)) * count(*)) as least from taught),
+often as (select item from (select r, unnest(tokens) as item from taught) group by item having count(*) >= (select least from total)),
+kept as (select r, bad, list(item order by item) as items from (select r, bad, unnest(tokens) as item from taught) semi join often using (item) group by r, bad),
+subsets as (select bad, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) as items from (select bad, items, unnest(range(1, 1 << len(items))) as mask from kept)),
+counted as (select items, count(*) as a, count(*) filter (bad) as k from subsets group by items),
+candidates as (select items, a, k / a as c, b / n as base from counted, total where k >= least and k / a >= 0.8 and b > 0 and b < n),
+mined as (select items from candidates where c > base and a * (c * ln(c / base) + case when c < 1 then (1 - c) * ln((1 - c) / (1 - base)) else 0 end) >= ln((select count(*) from candidates) / 0.01::double)),
+hit as (select distinct page_id from ruled, mined where list_has_all(tokens, items))
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null or page_id in (select page_id from hit) then 'block' else 'allow' end as verdict from ruled"""

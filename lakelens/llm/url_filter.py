@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,20 +30,43 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(parts("h:", host(url), r"\."), parts("p:", path(url), "/")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.8) -> DataFrame:
+def listed(h: Column, p: Column, rules=LISTED) -> tuple[Column, Column]:
+    """(rule, verdict) of the longest fixed rule that fits: its host or a subdomain, and a path that starts as its does."""
+    rule = verdict = None
+    for rh, rp, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r)):
+        fits = ((h == rh) | h.endswith(f".{rh}")) & p.startswith(rp)
+        rule = F.when(fits, rh + rp) if rule is None else rule.when(fits, rh + rp)
+        verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
+    return rule, verdict
+
+
+def labelled(urls: DataFrame, rules=LISTED, url: str = "url") -> DataFrame:
+    """(url, bad): rows that a fixed rule decides, 1 where it blocks and 0 where it allows. What is mined from them carries
+    the list's decisions over to URLs that it doesn't name."""
+    _, verdict = listed(host(F.col(url)), path(F.col(url)), rules)
+    return urls.select(F.col(url).alias("url"), (verdict == "block").cast("int").alias("bad")).filter("bad is not null")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.8, error: float = 0.01) -> DataFrame:
     """(items, anchor, confidence) of the rules items -> bad that FP-growth finds in labelled (url, bad: 0 or 1).
 
-    Rules below the support (a share of the labelled rows, and a number of them) or the confidence go, as do those to which a rule with fewer items and as much confidence
-    already applies. The anchor is the rarest item, under which the index lists the rule. Rows with another bad than 0 or 1
-    teach nothing; null or empty URLs have no items. The support bounds the number of frequent items and so of rules."""
-    baskets = stash(labelled.filter("bad in (0, 1)").select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array())).alias("items")).filter("size(items) > 0"), "url-baskets")
-    empty = "items array<string>, anchor string, confidence double"
-    n = baskets.count()
-    if n < min_rows:
-        return baskets.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("items"), "confidence")
-    rules = stash(rules, "url-rules")
+    Rules go that are below the support (a share of the labelled rows, and a number of them) or the confidence; whose bad
+    rows could have come from the base rate by chance (the Chernoff bound of the exact binomial tail, with the error divided
+    by the number of rules); or to which a rule with fewer items and as much confidence already applies. The anchor is the
+    rarest item, under which the index lists the rule. Rows with another bad than 0 or 1 teach nothing; null or empty URLs
+    have no items; each row counts, repeated ones too. The support bounds the number of frequent items and so of rules.
+    Without bad rows, or with bad rows alone, there are no rules."""
+    baskets = stash(labelled.filter("bad in (0, 1)").select("bad", F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array())).alias("items")).filter("size(items) > 0"), "url-baskets")
+    n, bad = baskets.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if n < min_rows or bad in (0, n):
+        return baskets.sparkSession.createDataFrame([], "items array<string>, anchor string, confidence double")
+    model = FPGrowth(minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets.select("items"))
+    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    rules = stash(found.select(F.array_sort("antecedent").alias("items"), "confidence", F.round(F.col("support") * n).alias("hits")), "url-candidates")
+    c, base = F.col("confidence"), bad / n
+    gain = c * F.log(c / base) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - base))).otherwise(0.0)
+    sure = (c > base) & (F.round(F.col("hits") / c) * gain >= F.lit(math.log(max(1, rules.count()) / error)))
+    rules = stash(rules.filter(sure).select("items", "confidence"), "url-rules")
     wider = rules.select(F.explode("items").alias("i"), "items", "confidence")
     shorter = rules.select(F.col("items").alias("few"), F.col("confidence").alias("fc"), F.col("items")[0].alias("i"))
     spare = wider.join(shorter, "i").filter("size(few) < size(items) and size(array_except(few, items)) = 0 and fc >= confidence").select("items").distinct()
@@ -57,16 +82,6 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def listed(h: Column, p: Column, rules=LISTED) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest fixed rule that fits: its host or a subdomain, and a path that starts as its does."""
-    rule = verdict = None
-    for rh, rp, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r)):
-        fits = ((h == rh) | h.endswith(f".{rh}")) & p.startswith(rp)
-        rule = F.when(fits, rh + rp) if rule is None else rule.when(fits, rh + rp)
-        verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
-    return rule, verdict
-
-
 def judge(pages: DataFrame, mined: DataFrame, rules=LISTED, url: str = "url") -> DataFrame:
     """pages with host, path, rule, confidence and verdict: the fixed rule's, else block where a mined rule applies, else
     allow. Every row keeps its place, with null, repeated or malformed URLs too; columns of the new names are replaced."""

@@ -337,3 +337,113 @@ def test_spans_bound_rows_and_bytes():
     col = pa.array(["a" * n for n in (1, 5, 100, 2, 2, 2, 0)] + [None])
     assert list(spans([col], 8, 3, 10)) == [(0, 2), (2, 1), (3, 3), (6, 2)]
     assert list(spans([], 5, 2)) == [(0, 2), (2, 2), (4, 1)] and list(spans([col.slice(0, 0)], 0)) == []
+
+
+def views(where):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "pages", "embeddings", "labels"):
+        con.execute(f"create view {name} as select * from '{where}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+@pytest.mark.parametrize("where", [DIR, "/root/testdata/sf0.001"])
+def test_oracle(spark, name, where):
+    df = queries.QUERIES[name](spark, where)
+    cols = sorted(df.columns)
+    found = views(where).execute(queries.ORACLE[name])
+    at = [[d[0] for d in found.description].index(c) for c in cols]
+    want = sorted(str([x[i] for i in at]) for x in found.fetchall())
+    assert want and sorted(str([r[c] for c in cols]) for r in df.collect()) == want
+
+
+def test_op1_mines_what_brute_force_finds(spark):
+    """Rules, their confidence and pruning on labelled URLs; held-out pages of the list; no rules from chance."""
+    import itertools
+    import math
+
+    r = random.Random(6)
+    rows = [(f"http://{r.choice('abc')}.{r.choice(['x', 'y'])}.io/{r.choice('pqr')}/{i}", 0) for i in range(900)]
+    rows = [(u, int("/p/" in u or (".x.io" in u and "//a" in u) or r.random() < 0.05)) for u, _ in rows]
+    n, bad, count, hits = len(rows), sum(b for _, b in rows), {}, {}
+    for u, b in rows:
+        h, p = u[7:].split("/", 1)
+        have = sorted({f"h:{x}" for x in h.split(".")} | {f"p:{x}" for x in p.split("/")})
+        for k in range(1, 6):
+            for c in itertools.combinations(have, k):
+                count[c], hits[c] = count.get(c, 0) + 1, hits.get(c, 0) + b
+    cand = {c: hits[c] / count[c] for c in count if hits[c] >= 10 and hits[c] / count[c] >= 0.8}
+    base = bad / n
+    far = lambda c: count[c] * (cand[c] * math.log(cand[c] / base) + ((1 - cand[c]) * math.log((1 - cand[c]) / (1 - base)) if cand[c] < 1 else 0))
+    sure = {c for c in cand if cand[c] > base and far(c) >= math.log(len(cand) / 0.01)}
+    want = {c for c in sure if not any(set(d) < set(c) and cand[d] >= cand[c] for d in sure)}
+    got = {tuple(x["items"]): x.confidence for x in url_filter.mine(spark.createDataFrame(rows, "url string, bad int")).collect()}
+    assert len(want) >= 2 and set(got) == want and all(abs(got[c] - cand[c]) < 1e-9 for c in want)
+    chance = spark.createDataFrame([(u, int(r.random() < 0.15)) for u, _ in rows], "url string, bad int")
+    assert url_filter.mine(chance).count() == 0 and url_filter.mine(chance.filter("bad = 1")).count() == 0
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    held = (F.crc32(F.col("page_id").cast("string")) % 5) == 0
+    rules = url_filter.mine(url_filter.labelled(pages.filter(~held)))
+    found = {x.url for x in url_filter.matches(pages, rules).collect()}
+    known = url_filter.labelled(pages.filter(held)).collect()
+    right = sum(x.bad for x in known if x.url in found)
+    assert rules.count() > 0 and right >= 0.95 * sum(x.url in found for x in known) and right >= 0.95 * sum(x.bad for x in known)
+
+
+def test_op2_query_against_brute_force(spark, docs):
+    """Entities by another regex engine; what lies between them stays, each has one surrogate, and no two share one."""
+    import regex
+
+    find = regex.compile("|".join(f"({p})" for p in pii.PATTERNS.values()).replace("(?iu:", "(?i:"), regex.V0)
+    to = {}
+    text = {d.doc_id: d.text for d in docs.collect()}
+    for row in queries.op2_pii(spark, DIR).collect():
+        old, at = text[row.doc_id], 0
+        found = list(find.finditer(old))
+        assert row.n_entities == len(found)
+        pattern, last = "", 0
+        for m in found:
+            pattern += regex.escape(old[last : m.start()]) + "(.+)"
+            last = m.end()
+        m = regex.fullmatch(pattern + regex.escape(old[last:]), row.text, regex.S)
+        assert m and not found or [len(g) for g in m.groups()] and all(a.group() not in b for a, b in zip(found, m.groups()))
+        for a, b in zip(found, m.groups()):
+            assert to.setdefault(a.group(), b) == b
+    assert len(to) > 5 and len(set(to.values())) == len(to)
+
+
+def test_op2_leaves_no_letter(spark):
+    """No letter or digit of a name, a mailbox or a number stays at its place, in any script; names are coreferent."""
+    words = ["Müller", "Núñez", "Щукин", "Γεωργίου", "Ångström", "Łukasz", "Dvořák", "Đorđević", "Šimić", "İpek", "Ёлкин", "Ødegård", "Թումանյան", "Smith-Lüdenscheidt", "D’Angelo"]
+    boxes = ["李明@例子.cn", "مها@x.com", "दीपक@उदाहरण.com", "ひらがな@カタカナ.jp", "홍길동@서울.kr", "юля@почта.рф", "ⴰⵣⵓⵍ@x.org", "นที@x.com"]
+    rows = [(i, f"Herr {w}") for i, w in enumerate(words)] + [(100 + i, b) for i, b in enumerate(boxes)]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, t in rows:
+        a, b = (t[5:], got[i].text[5:]) if i < 100 else (t.split("@")[0], got[i].text.split("@")[0])
+        assert got[i].n_entities == 1 and len(a) == len(b)
+        assert all(x != y for x, y in zip(a, b) if x.isalnum()) and [x.isupper() for x in a] == [x.isupper() for x in b]
+    text = "Mrs. Anna Schmidt, Mrs. Anna and MRS. SCHMIDT. Anna's Schmidt, anna; Annas. mr Bo Li"
+    out = pii.replace_pii(spark.createDataFrame([(1, text), (2, "Ms. Anna; Anna Li")], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    w = re.findall(r"[\w.]+", out[0].text)
+    assert w[1] == w[4] == w[8] and w[2].lower() == w[7].lower().strip(".") == w[10].lower() and w[7].isupper() and w[11:13] == ["anna", "Annas."] and w[1].endswith("a")
+    assert out[1].text == f"Ms. {w[1]}; {w[1]} Li"  # Li isn't named in this text
+    iban = pii.replace_pii(spark.createDataFrame([(1, "DE89 3704 0044 0532 0130 00")], "doc_id long, text string"), "k").first().text
+    plain = iban.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain[:2] == "DE" and [c == " " for c in iban] == [c == " " for c in "DE89 3704 0044 0532 0130 00"]
+    ips = ["10.1.2.3", "192.168.7.8", "172.16.9.9", "127.0.0.1", "8.8.8.8"]
+    new = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(ips)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    import ipaddress
+
+    assert [ipaddress.ip_address(x).is_private for x in new] == [True, True, True, True, False] and not set(new) & set(ips)
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 3000 + "1", "1 " * 200_000, " ".join(f"user{i}@m.example.com" for i in range(5000)), "Mr. " + "Ab" * 50_000, "a" * 300_000 + "@x.com", "Mr. " + "Ab " * 50_000], ids=range(6))
+def test_op2_hostile_texts(spark, text):
+    import time
+
+    df = spark.createDataFrame([(1, text, 5, 6)], "doc_id long, text string, __own0 int, __new int")
+    began = time.time()
+    row = pii.replace_pii(df, "k").first()
+    assert row["__own0"] == 5 and row["__new"] == 6 and time.time() - began < 60
