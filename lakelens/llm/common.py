@@ -35,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of df has, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, []
+    while len(out) < n:
+        name = f"__own{len(out)}"
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
