@@ -118,3 +118,20 @@ candidates as (select items, a, k / a as c, b / n as base from counted, total wh
 mined as (select items from candidates where c > base and a * (c * ln(c / base) + case when c < 1 then (1 - c) * ln((1 - c) / (1 - base)) else 0 end) >= ln((select count(*) from candidates) / 0.01::double)),
 hit as (select distinct page_id from ruled, mined where list_has_all(tokens, items))
 select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null or page_id in (select page_id from hit) then 'block' else 'allow' end as verdict from ruled"""
+#: The digest's 160 bits are dealt to 32 letters, four for each five hexadecimal places.
+ORACLE["op9_warc"] = """
+with own as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as sha from pages),
+known as (select *, min(page_id) over (partition by sha) as origin, list_transform(range(0, 8), lambda g: ('0x' || substr(sha, 5 * g + 1, 5))::int) as places from own)
+select page_id, cast(strlen(body) as bigint) as payload_bytes,
+  list_reduce(list_transform(places, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), lambda a, b: a || b) as payload_digest,
+  case when page_id = origin then 'response' else 'revisit' end as record_type, case when page_id <> origin then origin end as refers_to from known"""
+#: Pairs by shared shingles, then all that is reachable.
+ORACLE["op6_jaccard_join"] = r"""
+with recursive ws as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from ws),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select doc_id, doc_id as other from sets union select r.doc_id, l.y from reach r join links l on r.other = l.x)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.other) as component_id from sets s join reach r on r.doc_id = s.doc_id group by s.doc_id, len(s.s)"""

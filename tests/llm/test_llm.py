@@ -447,3 +447,28 @@ def test_op2_hostile_texts(spark, text):
     began = time.time()
     row = pii.replace_pii(df, "k").first()
     assert row["__own0"] == 5 and row["__new"] == 6 and time.time() - began < 60
+
+
+def test_op9_records(spark, tmp_path):
+    """Repeated long rows in several partitions, clashing columns, an empty table; members are standard gzip, ids are distinct."""
+    import gzip
+
+    big = "".join(random.Random(7).choices("ab c\u00e9\n", k=150_000))
+    rows = [(1, "u", big), (1, "u", big), (2, None, big), (3, "v", "x"), (4, "v", "x"), (None, "w", big), (None, "w", None), (None, "w", None)]
+    pages = spark.createDataFrame([(*r, "q", 9, "z") for r in rows], "page_id long, url string, html string, sha string, first int, value string").repartition(4)
+    warc.write(pages, str(tmp_path / "w"))
+    found = []
+    for f in sorted((tmp_path / "w").glob("*.txt")):
+        raw = f.read_bytes()
+        one_by_one = list(warc.members(raw))
+        assert b"".join(one_by_one) == gzip.decompress(raw) and all(len(list(warc.parse(r))) == 1 for r in one_by_one)
+        found += [next(warc.parse(r))[0] for r in one_by_one]
+    ids = [f["WARC-Record-ID"] for f in found]
+    assert len(set(ids)) == len(ids) and all(f["WARC-Refers-To"] in ids for f in found if "WARC-Refers-To" in f)
+    assert any("WARC-Refers-To" in f for f in found) and sum(f["WARC-Type"] == "continuation" for f in found) >= 4
+    got = sorted(((r.page_id, r.record_type, r.refers_to, None if r.payload is None else r.payload.decode()) for r in warc.read(spark, str(tmp_path / "w")).collect()), key=str)
+    assert got == sorted([(1, "response", None, big)] * 2 + [(2, "revisit", 1, None), (None, "revisit", 1, None), (3, "response", None, "x"), (4, "revisit", 3, None)] + [(None, "response", None, "")] * 2, key=str)
+    warc.write(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        list(warc.members(raw[:-3]))
