@@ -472,3 +472,20 @@ def test_op9_records(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError):
         list(warc.members(raw[:-3]))
+
+
+def test_op5_special_tokens_and_ties(spark):
+    """Ids are the library's where texts hold its special token; repeated and equal documents are all packed, whole."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.PACK_TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|", "<|endoftext|>\n\n  y", "it's <|ENDOFTEXT|>"] + ["same words again"] * 400
+    df = spark.createDataFrame([(i // 2, x, 1, "q") for i, x in enumerate(texts)], "doc_id long, text string, start int, offset string").repartition(3)
+    want = sorted((i // 2, zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, x in enumerate(texts))
+    got, room = {}, {}
+    for r in pack(df, queries.PACK_TOKENIZER, queries.PACK_VOCABULARY).collect():
+        room[r.sequence_id] = room.get(r.sequence_id, 0) + r.length
+        got.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    assert 50256 in np.frombuffer(got[0, 5][0].ids, "<u4") and all(n <= 1024 and n & (n - 1) == 0 for n in room.values())
+    whole = [(i, zlib.crc32(r.ids)) for (i, n), rs in got.items() for r in rs if r.length == n]
+    assert set(whole) <= set(want) and sum(r.length for rs in got.values() for r in rs) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts)
