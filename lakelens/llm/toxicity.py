@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from .common import fold, tree_sum, with_columns
+from .common import fold, stash, tree_sum, with_columns
 
 #: What a sign may stand for, besides itself (fixed values); the empty text: nothing.
 LEET = {
@@ -20,7 +20,7 @@ LEET = {
     "*": ("", "a", "e", "i", "o", "u"), "#": ("", "h"),
 }
 #: Natural-log costs of the channel's moves.
-SUBSTITUTE, DROP, SQUEEZE, KEEP_SIGN = 1.2, 0.7, 0.4, 9.0
+SUBSTITUTE, DROP, SQUEEZE, JOIN = 1.2, 0.7, 0.4, 0.7
 SYMBOLS = 64
 CACHE = 400_000
 #: Prefix lengths that are features, besides whole words.
@@ -70,7 +70,9 @@ class Decoder:
             while j < len(word) and word[j] == word[i]:
                 j += 1
             c, n = word[i], j - i
-            if c.isalpha():
+            if c == " ":
+                yield [(" ", 0.0), ("", JOIN)]
+            elif c.isalpha():
                 yield [(c * n, 0.0)] if n < 3 else [(c, SQUEEZE), (c + c, SQUEEZE)]
             else:
                 stands = [(x, SUBSTITUTE if x else DROP) for x in LEET.get(c, ("",))]
@@ -140,12 +142,66 @@ def spaced(ws: list[str]) -> list[str]:
     return out
 
 
+class Spacing:
+    """Finds words of a lexicon that are written in pieces: windows of words whose characters, by what the channel may have
+    made of them, spell one. Each window is then read by the lattice, where every space is kept or dropped."""
+
+    def __init__(self, lexicon, decoder: Decoder):
+        self.whole = {f[:-1] for f in lexicon if f.endswith(" ") and len(f) > 3}
+        self.begins = {w[:n] for w in self.whole for n in range(len(w) + 1)}
+        self.decoder = decoder
+        self.opens: dict[str, frozenset] = {}
+
+    def follow(self, states: frozenset, word: str) -> frozenset:
+        """What of the lexicon's words may have been spelt after a further piece."""
+        for ch in word:
+            stands = (ch,) if ch.isalpha() else (*LEET.get(ch, ()), "")
+            states = frozenset(x for s in states for o in stands for x in ((s + o, s) if o and s.endswith(o) else (s + o,)) if x in self.begins)
+            if not states:
+                break
+        return states
+
+    def open(self, word: str) -> frozenset:
+        """The states after a first piece, none if nothing of a word was spelt."""
+        return self.follow(frozenset([""]), word.lower()) - {""}
+
+    def windows(self, ws: list[str]):
+        """(first, end) of the longest windows, from each first piece that isn't the one before it again."""
+        found = list(map(self.opens.get, ws))
+        if None in found:
+            if len(self.opens) > CACHE:
+                self.opens.clear()
+            for w in set(ws):
+                if w not in self.opens:
+                    self.opens[w] = self.open(w)
+            found = list(map(self.opens.get, ws))
+        until = 0
+        for i, states in enumerate(found):
+            if not states or i < until or i and ws[i] == ws[i - 1]:
+                continue
+            end, j = 0, i + 1
+            while j < len(ws) and (states := self.follow(states, ws[j].lower())):
+                j += 1
+                if not self.whole.isdisjoint(states):
+                    end = j
+            if end and (i + 1 == end or self.whole.isdisjoint(self.opens[ws[i]])):
+                until = end
+                yield i, end
+
+    def words(self, ws: list[str]):
+        """The words that the windows read as and that aren't one of their pieces."""
+        for i, end in self.windows(ws):
+            got = self.decoder.restore(" ".join(ws[i:end]).lower())
+            yield from (w for w in got.split() if w not in ws[i:end])
+
+
 def forms(reading: str) -> list[str]:
     """Features of a reading: the whole word, and its prefixes."""
     return [f"{reading} ", *(reading[:n] for n in PREFIXES if len(reading) >= n)]
 
 
 def words_of(text: str | None) -> list[str]:
+    """The words of a text that is learned from; there is no lexicon yet, so only spelt-out words are joined."""
     ws = (text or "").split()
     if sum(len(w) == 1 for w in ws) > 3:
         ws = ws + spaced(ws)
@@ -191,10 +247,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, features: int = 400, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """The language model counts all texts. The classifier learns from at most `sample` labelled rows of each class, those
-    with the smallest hash of their id, outside fold 0; rows whose label is neither 0 nor 1 teach nothing. Without labels of
-    both classes every score is that of the bias, 0.02."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, features: int = 400, doc_id: str = "doc_id", text: str = "text", sample_bytes: int = 32_000_000) -> Model:
+    """The language model counts all texts. The classifier learns from at most `sample` labelled ids of each class, those
+    with the smallest hash, outside fold 0, and of their texts from so many that the class has at most `sample_bytes`; of
+    rows with the same id one text counts, the smallest; rows whose label is neither 0 nor 1 teach nothing. Without labels
+    of both classes every score is that of the bias, 0.02."""
     model = Model(language_model(docs, text))
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 0)).select(F.col(doc_id).alias("i"), F.col("toxic").alias("y")).distinct()
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -202,7 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, features: int =
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(sample)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y").collect()
+    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min(F.struct(F.octet_length("t").alias("n"), "t"))["t"].alias("t"))
+    own = stash(own, "toxicity-sample")  # 2 * sample rows at most
+    size = F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
+    rows = own.withColumn("n", size).filter(F.col("n") <= sample_bytes).select("i", "t", "y").collect()
     rows.sort(key=lambda r: (r.i, r.t or ""))
     if len({r.y for r in rows}) < 2:
         return model
@@ -259,9 +319,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         decoder = state.setdefault("decoder", Decoder(m.trigrams))
         cache = state.setdefault("cache", {})
+        spacing = state.setdefault("spacing", Spacing(m.lexicon, decoder))
         out = []
         for t in cols[0].to_pylist():
-            ws = words_of(t)
+            ws = (t or "").split()
+            ws += spacing.words(ws)
             found = list(map(cache.get, ws))
             if None in found:
                 for w in {w for w, k in zip(ws, found) if k is None}:

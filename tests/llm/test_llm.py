@@ -489,3 +489,21 @@ def test_op5_special_tokens_and_ties(spark):
     assert 50256 in np.frombuffer(got[0, 5][0].ids, "<u4") and all(n <= 1024 and n & (n - 1) == 0 for n in room.values())
     whole = [(i, zlib.crc32(r.ids)) for (i, n), rs in got.items() for r in rs if r.length == n]
     assert set(whole) <= set(want) and sum(r.length for rs in got.values() for r in rs) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts)
+
+
+def test_op4_spacing_is_decoded(spark, docs):
+    """Words in pieces score as the words do, next to single letters too; a text's sample is bounded in rows and bytes."""
+    labels = table(spark, DIR, "labels")
+    model = toxicity.fit(docs, labels)
+    word = max((f[:-1] for f in model.lexicon if f.endswith(" ") and f.strip().isascii() and len(f) > 5), key=lambda w: model.weights[model.lexicon[w + " "]])
+    spelt = " ".join(word)
+    noisy = [word, f"a {spelt} c", f"{word[:2]} {word[2:]}", " ".join(word[:3]) + " " + word[3:], spelt.upper(), "x " * 5000 + spelt, " ".join(c * 2 for c in word)]
+    made = spark.createDataFrame(list(enumerate(noisy)), "doc_id long, text string")
+    got = [r.score for r in toxicity.score(made, model).orderBy("doc_id").collect()]
+    assert got[0] > toxicity.score(made.limit(0).union(spark.createDataFrame([(0, "")], "doc_id long, text string")), model).first().score
+    assert all(abs(s - got[0]) < 1e-9 for s in got[:6])
+    spacing = toxicity.Spacing({"clown ": 0}, toxicity.Decoder(model.trigrams))
+    assert list(spacing.windows("a c l o w n c".split())) == [(1, 6)] and list(spacing.windows("cl 0 o wn the".split())) == [(0, 4)] and not list(spacing.windows("clown c low n".split()[:2]))
+    twice = docs.union(docs).union(docs)
+    assert toxicity.fit(twice, labels, sample=40).lexicon.keys() == toxicity.fit(docs, labels, sample=40).lexicon.keys()
+    assert not toxicity.fit(docs, labels, sample_bytes=0).lexicon
