@@ -9,10 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh_names, stash
 
-FEMALE, MALE = "Mrs|Ms|Frau|Señora|Señorita|Madame|Mme|Signora|Госпожа|Κυρία", "Mr|Herr|Señor|Monsieur|Signor|Господин|Κύριος"
-#: Titles in any case; "miss" is also a word, so it counts only with a capital.
-FEMALE, MALE = rf"(?:(?iu:{FEMALE})|Miss|MISS)", rf"(?iu:{MALE})"
-TITLE = rf"(?:{FEMALE}|{MALE})\.? "
+#: Titles, as they are written at the start of a sentence (fixed values).
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Signora", "Госпожа", "Κυρία")
+MALE = ("Mr", "Herr", "Señor", "Monsieur", "Signor", "Господин", "Κύριος")
+
+
+def _titles(words: tuple[str, ...]) -> str:
+    """An expression for titles in any case; "miss" is also a word, so it counts only with a capital. The class of first
+    letters comes first, as it rules out most places of a text at once."""
+    forms = sorted({f for w in words for f in (w, w.upper(), w.lower()) if f != "miss"}, key=lambda f: (-len(f), f))
+    return rf"(?=[{''.join(sorted({f[0] for f in forms}))}])(?<![\p{{L}}\p{{M}}])(?:{'|'.join(forms)})"
+
+
+FEMALE_TITLE = rf"{_titles(FEMALE)}\.? "
+TITLE = rf"{_titles(FEMALE + MALE)}\.? "
 #: A capitalised word, with its apostrophes and hyphens but not an English 's. Possessive, as is all that repeats without a
 #: bound: such loops don't recurse.
 WORD = r"\p{Lu}['’]?+(?:[\p{L}\p{M}]++(?:(?!['’][sS](?![\p{L}\p{M}]))['’-](?=\p{L}))?+)++"
@@ -25,11 +35,11 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{M}}]){TITLE}{WORD}(?: {WORD})?",
+    "name": rf"{TITLE}{WORD}(?: {WORD})?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Where a text has a titled name, its other capitalised words are looked at too: some may be that name without its title.
-NAMED = rf"(?<![\p{{L}}\p{{M}}]){TITLE}\p{{Lu}}"
+NAMED = rf"{TITLE}\p{{Lu}}"
 WITH_WORDS = rf"{ENTITY}|(?<![\p{{L}}\p{{M}}\p{{N}}]){WORD}"
 #: A text without any of these has no entity.
 HINT = rf"[0-9@]|{TITLE}\p{{Lu}}"
@@ -78,7 +88,7 @@ def parts(entity: Column, type_: Column) -> Column:
     part = lambda lead, form, t, norm, role: F.struct(lead.alias("lead"), form.alias("form"), t.alias("type"), norm.alias("norm"), role.alias("role"))
     title = F.regexp_extract(entity, f"^{TITLE}", 0)
     words = F.split(F.substr(entity, F.length(title) + 1), " ")
-    gender = F.when(entity.rlike(rf"^{FEMALE}\.? "), "female").otherwise("male")
+    gender = F.when(entity.rlike(f"^{FEMALE_TITLE}"), "female").otherwise("male")
     none = F.lit(None).cast("string")
     low = lambda c: F.replace(F.lower(c), F.lit("i\u0307"), F.lit("i"))  # a dotted capital I becomes one letter
     named = F.transform(words, lambda w, i: part(F.when(i == 0, title).otherwise(" "), w, F.lit("name"), low(w), F.when((i == 0) & (F.size(words) > 1), gender)))
