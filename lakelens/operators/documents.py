@@ -168,11 +168,11 @@ def iceberg(m: dict, cfg):
     if version in (1, 2, 3):
         yield from _required(m, version)
         yield from _snapshots(m, version)
-    known = [integer(s, "schema-id") for s in schemas(m)]
+    known = [integer(s, "schema-id") for s in objects(m, "schemas")]
     snapshots = [integer(s, "snapshot-id") for s in objects(m, "snapshots")]
     for key, ids, zero in (("current-schema-id", known, False), ("default-spec-id", [integer(s, "spec-id") for s in objects(m, "partition-specs")], False), ("default-sort-order-id", [integer(s, "order-id") for s in objects(m, "sort-orders")], True)):
         v = integer(m, key)
-        if v is not None and v not in ids and not (zero and v == 0) and (key != "current-schema-id" or objects(m, "schemas")) and (key != "default-spec-id" or "partition-specs" in m):
+        if v is not None and v not in ids and not (zero and v == 0):
             yield "AL103", E, f"{key} {v} refers to nothing", f"field={key}"
     current = integer(m, "current-snapshot-id")
     current = None if current == -1 else current
@@ -184,7 +184,7 @@ def iceberg(m: dict, cfg):
         if isinstance(main, dict):
             if integer(main, "snapshot-id") != current:
                 yield "AL103", E, "refs.main isn't the current snapshot", "field=refs.main"
-        elif refs:
+        else:
             yield "AL103", E, "refs have no main", "field=refs"
         for name, r in sorted(refs.items()):
             i = integer(r, "snapshot-id")
@@ -241,7 +241,7 @@ def _required(m, version):
 
 def _snapshots(m, version):
     updated, last = integer(m, "last-updated-ms"), integer(m, "last-sequence-number")
-    known = {integer(s, "schema-id") for s in schemas(m)}
+    known = {integer(s, "schema-id") for s in objects(m, "schemas")}
     all_ids = {integer(s, "snapshot-id") for s in objects(m, "snapshots")}
     for n, s in enumerate(objects(m, "snapshots")):
         def bad(text, n=n):
@@ -266,7 +266,7 @@ def _snapshots(m, version):
             summary = s.get("summary")
             if not isinstance(summary, dict) or summary.get("operation") not in ("append", "replace", "overwrite", "delete"):
                 yield bad("summary has no valid operation")
-        if "schema-id" in s and integer(s, "schema-id") not in known:
+        if (own := integer(s, "schema-id")) is not None and own not in known:
             yield bad("schema-id refers to nothing")
         if version >= 3:
             for key in ("first-row-id", "added-rows"):
@@ -291,7 +291,7 @@ def _snapshots(m, version):
         elif i not in all_ids:
             yield bad(f"snapshot {i} is unknown")
     current = integer(m, "current-snapshot-id")
-    if log and integer(log[-1], "snapshot-id") != (None if current == -1 else current):
+    if log and current not in (None, -1) and integer(log[-1], "snapshot-id") != current:
         yield "AL105", "error", "the last entry isn't the current snapshot", "field=snapshot-log"
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .adapters import halves, read, table_views
-from .operators import cases, columnar
+from .operators import columnar, samples
 from .operators.catalogue import BY_ID, Config
 from .plans import diff as d
 from .plans.engine import lint
@@ -48,10 +48,29 @@ for _rule in ("AL001", "AL002", "AL003", "AL004", "AL005", "AL006", "AL007", "AL
     add(_named(_rule), _footer(_rule))
 
 #: The footers of the correctness run, as DuckDB reads them.
-META = "(select distinct regexp_extract(file_name, '[^/]*$') as file, row_group_id g, row_group_num_rows n, path_in_schema p, compression, type, stats_null_count from parquet_metadata('/root/testdata/sf0.01/*.parquet'))"
-ORACLE[_named("AL001")] = f"select distinct 'AL001' rule_id, file, concat('row_group=', g) as location from {META} where n > 0 and n < 100000"
-for _rule, _where in {"AL008": "compression = 'UNCOMPRESSED'", "AL009": "type = 'INT96'", "AL011": "compression = 'LZ4'", "AL014": "stats_null_count is null"}.items():
-    ORACLE[_named(_rule)] = f"select '{_rule}' rule_id, file, concat('row_group=', g, ',column=', p) as location from {META} where {_where}"
+FOLDER = "/root/testdata/sf0.01/*.parquet"
+META = f"(select regexp_extract(file_name, '[^/]*$') as file, row_group_id g, row_group_num_rows n, path_in_schema p, compression, type, stats_null_count nulls, stats_distinct_count dist, num_values vals, encodings enc, total_compressed_size packed, total_uncompressed_size size, row_group_bytes bytes, coalesce(stats_min, stats_max, stats_min_value, stats_max_value, stats_null_count::varchar) is not null has from parquet_metadata('{FOLDER}'))"
+FILE = f"(select regexp_extract(file_name, '[^/]*$') as file, num_rows, file_size_bytes bytes from parquet_file_metadata('{FOLDER}'))"
+LEAVES = f"(select regexp_extract(file_name, '[^/]*$') as file, string_agg(concat_ws(':', name, type, repetition_type, logical_type, converted_type), '|' order by column_id) shape from parquet_schema('{FOLDER}') where repetition_type is not null group by 1)"
+CHUNKS_HIT = {
+    "AL002": "not has", "AL008": "compression = 'UNCOMPRESSED'", "AL009": "type = 'INT96'", "AL010": "enc like '%PLAIN_DICTIONARY%' or enc like '%BIT_PACKED%'", "AL011": "compression = 'LZ4'",
+    "AL012": "has and (nulls > vals or dist > vals)", "AL014": "has and nulls is null", "AL015": "vals < 0 or packed < 0 or size < 0",
+}
+HITS = {r: f"select distinct '{r}' rule_id, file, concat('row_group=', g, ',column=', p) as location from {META} where {w}" for r, w in CHUNKS_HIT.items()}
+HITS |= {
+    "AL001": f"select distinct 'AL001' rule_id, file, concat('row_group=', g) as location from {META} where n > 0 and n < 100000",
+    "AL003": f"select 'AL003' rule_id, file, null::varchar as location from {LEAVES} where shape <> (select shape from {LEAVES} order by file limit 1)",
+    "AL004": f"select 'AL004' rule_id, file, null::varchar as location from {FILE} where file not in (select regexp_extract(file_name, '[^/]*$') from parquet_kv_metadata('{FOLDER}') where key::varchar <> 'ARROW:schema')",
+    "AL005": f"select 'AL005' rule_id, regexp_extract(file_name, '[^/]*$') as file, concat('field=', name) as location from parquet_schema('{FOLDER}') where logical_type like 'TimestampType(isAdjustedToUTC=1%'",
+    "AL006": f"select 'AL006' rule_id, file, concat('column=', p) as location from {META} group by file, p having min(enc like '%DICTIONARY%') <> max(enc like '%DICTIONARY%')",
+    "AL007": f"select 'AL007' rule_id, null::varchar as file, null::varchar as location from {FILE} where bytes > 0 and bytes < 67108864 having count(*) > 1",
+    "AL013": f"select 'AL013' rule_id, f.file, null::varchar as location from {FILE} f left join (select file, sum(n) n from (select distinct file, g, n from {META}) group by file) m using (file) where coalesce(m.n, 0) <> f.num_rows",
+    "AL100": f"select 'AL100' rule_id, regexp_extract(file, '[^/]*$') as file, null::varchar as location from glob('{FOLDER.replace('*.parquet', '*.duckdb')}')",
+}
+HITS["AL015"] += f" union all select 'AL015', file, concat('row_group=', g) from (select distinct file, g, n, bytes from {META}) where n < 0 or bytes < 0 union all select 'AL015', file, null from {FILE} where num_rows < 0"
+for _rule, _sql in HITS.items():
+    ORACLE[_named(_rule)] = _sql
+add("lint_all", lambda spark, sf_dir: flagship(spark, sf_dir).select("rule_id", "severity", F.element_at(F.split("path", "/"), -1).alias("file"), "location"), "select rule_id, case rule_id " + " ".join(f"when '{r}' then '{BY_ID[r][3]}'" for r in HITS) + " end severity, file, location from (" + " union all ".join(HITS[r] for r in sorted(HITS)) + ")")
 
 # --- tables in the shape of views -------------------------------------------------------------------------------
 
@@ -87,51 +106,27 @@ add("al013_row_count_mismatch_tbl", _kernel(columnar.row_counts, "file_idx"), f"
 add("al100_recognized_extension_format_tbl", _kernel(columnar.extension_format, "file_idx"), f"select 'AL100' rule_id, file_idx from ({FILES}) where format = 'duckdb'")
 add("declarative_rule_tbl", lambda spark, sf_dir: columnar.declared((v := table_views(spark, sf_dir)) | {"files": v["logged"]}, TABLE, {"rule": "ORG001", "severity": "error", "check": {"metadata_key": "k1"}, "applies_to": ["parquet"]}).select("rule_id", "file_idx", "severity"), "select 'ORG001' rule_id, cast(event_id as integer) file_idx, 'error' severity from events where cast(json_extract_string(props, '$.k') as integer) % 3 <> 1")
 
-# --- relational forms of the document rules ---------------------------------------------------------------------
-
-add("al103_unknown_references_tbl", lambda spark, sf_dir: read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(read(spark, sf_dir, "part").filter("p_size <= 25").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_anti"), "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_size <= 25)")
-add("al104_duplicate_identifiers_tbl", lambda spark, sf_dir: read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1"), "select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2 having count(*) > 1")
-add("al105_snapshot_log_tbl", lambda spark, sf_dir: columnar.ordered_log(read(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts"), "user_id", ["value", "event_id"], "ts").select("event_id", "user_id"), "select event_id, user_id from (select *, lag(ts ignore nulls) over (partition by user_id order by value, event_id) before from events) where ts <= before")
-
-
-def _signatures(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    return lines.withColumn("before", F.lag("l_returnflag").over(w)).filter("before <> l_returnflag").groupBy("l_partkey").agg(F.count("*").alias("n"))
-
-
-add("al106_reused_field_ids_tbl", _signatures, "select l_partkey, count(*) n from (select l_partkey, l_returnflag, lag(l_returnflag) over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice, l_returnflag) before from lineitem) where before <> l_returnflag group by 1")
-add("al107_maintenance_tbl", lambda spark, sf_dir: read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 10"), "select user_id, count(*) n from events group by 1 having count(*) > 10")
-
-
-def _repeats(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_extendedprice", "l_partkey", "l_suppkey")
-    return lines.withColumn("k", F.row_number().over(w)).filter("k > 1").select("l_orderkey", "l_linenumber", "k")
-
-
-add("al202_repeated_fragments_tbl", _repeats, "select l_orderkey, l_linenumber, k from (select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey, l_linenumber order by l_extendedprice, l_partkey, l_suppkey) as integer) k from lineitem) where k > 1")
-add("al304_segment_order_tbl", lambda spark, sf_dir: read(spark, sf_dir, "events").withColumn("before", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))).filter("value < before").select("user_id", "event_id"), "select user_id, event_id from (select *, lag(value) over (partition by user_id order by event_id) before from events) where value < before")
-
 # --- documents --------------------------------------------------------------------------------------------------
 
 
 def _documents(rule: str):
     def query(spark, sf_dir):
+        line = F.struct(F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"), F.floor("l_quantity").cast("long").alias("q"))
+        orders = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("order_key")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
         def run(batches):
             for b in batches:
-                got = [(c, sum(f[0] == rule for f in cases.check(form, doc))) for form, c, doc in zip(*(x.to_pylist() for x in b.columns))]
-                got = [g for g in got if g[1]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], names=["case_name", "n"])
+                got = [(k, n) for k, lines in zip(*(x.to_pylist() for x in b.columns)) if (n := samples.fired(rule, k, lines))]
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["order_key", "n"])
 
-        return spark.createDataFrame(cases.cases(), "format string, case_name string, doc string").mapInArrow(run, "case_name string, n long")
+        return orders.mapInArrow(run, "order_key long, n long")
 
-    query.__doc__ = f"How often {rule} fires in each document of cases.py."
+    query.__doc__ = f"How often {rule} fires in the document of each order (see samples.py)."
     return query
 
 
-for _rule, _by in cases.EXPECTED.items():
-    add(f"{_named(_rule)}_documents", _documents(_rule), f"select case_name, cast(n as bigint) n from (values {', '.join(f"('{c}', {n})" for c, n in _by.items())}) t(case_name, n)")
+for _rule in samples.EXPECTED:
+    add(f"{_named(_rule)}_documents", _documents(_rule), samples.expected_sql(_rule))
 
 # --- comparison -------------------------------------------------------------------------------------------------
 
@@ -146,4 +141,36 @@ add("diff_metadata_tbl", lambda spark, sf_dir: d.metadata_changes(*halves(spark,
 add("diff_row_groups_tbl", lambda spark, sf_dir: d.row_groups(*halves(spark, sf_dir)), "select cast(sum(o) as bigint) old_count, cast(sum(w) as bigint) new_count, bool_or(o <> w) changed from (select floor(l_quantity) a, floor(l_extendedprice) b, sum(case when l_orderkey % 2 = 0 then 1 else 0 end) o, sum(l_orderkey % 2) w from lineitem group by 1, 2)")
 add("diff_compression_tbl", lambda spark, sf_dir: d.compression(halves(spark, sf_dir)[1]), f"select string_agg(distinct codec, ',' order by codec) codecs from ({CHUNK}) where file_idx % 2 = 1")
 add("diff_scan_cost_tbl", lambda spark, sf_dir: d.scan_cost(halves(spark, sf_dir)[0]), f"select cast(sum(case when coalesce(c, 0) > 0 then c else size end) as bigint) as cost from ({FILES}) f left join (select file_idx k, sum(greatest(packed, 0)) c from ({CHUNK}) group by 1) g on g.k = f.file_idx where f.file_idx % 2 = 0")
-add("lint_all", flagship)
+
+
+def _sides(view: str):
+    def sides(spark, sf_dir):
+        v = table_views(spark, sf_dir)[view]
+        return [{"files": v.filter(F.col("file_idx") % 2 == n)} for n in (0, 1)]
+
+    return sides
+
+
+add("diff_schema_identity_tbl", lambda spark, sf_dir: d.schema_identity(*_sides("typed")(spark, sf_dir)), f"with x as (select file_idx % 2 side, list_sort(list(distinct concat_ws(':', name, t, nullable))) prints, arg_min(name, file_idx) as first from ({PARTS}) group by 1) select a.prints = b.prints as identical, a.first <> b.first as order_changed from x a, x b where a.side = 0 and b.side = 1")
+
+
+def _negative(spark, sf_dir):
+    v = table_views(spark, sf_dir)
+    less = lambda df, c, n: df.withColumn(c, F.col(c) - n)
+    shifted = {"files": less(v["files"], "num_rows", 20), "row_groups": less(less(v["row_groups"], "num_rows", 5), "total_byte_size", 20_000)}
+    return columnar.negative_sizes(shifted, TABLE).select("rule_id", "file_idx", "message", "location")
+
+
+add("al015_negative_sizes_tbl", _negative, f"select 'AL015' rule_id, file_idx, 'file row count is negative' message, null::varchar as location from ({FILES}) where format = 'parquet' and n < 20 union all select 'AL015', l_orderkey::int, 'row count is negative', concat('row_group=', l_linenumber) from lineitem where floor(l_quantity) < 5 union all select 'AL015', l_orderkey::int, 'total byte size is negative', concat('row_group=', l_linenumber) from lineitem where floor(l_extendedprice) < 20000")
+
+PAIRS = (("documents", "documents"), ("documents", "pages"), ("orders", "lineitem"), ("region", "region"))
+
+
+def _changes(spark, sf_dir):
+    got = [(a, b, (r := d.diff(spark, [f"{sf_dir}/{a}.parquet"], [f"{sf_dir}/{b}.parquet"]))["has_changes"], r["old"]["num_rows"], r["new"]["num_rows"], len(r["schema"]["changes"])) for a, b in PAIRS]
+    return spark.createDataFrame(got, "old string, new string, has_changes boolean, old_rows long, new_rows long, schema_changes long")
+
+
+_shape = f"(select regexp_extract(file_name, '([^/]*).parquet$', 1) as file, name, concat_ws(':', type, repetition_type, logical_type) t from parquet_schema('{FOLDER}') where repetition_type is not null)"
+_pairs = f"(values {', '.join(map(str, PAIRS))}) x(a, b)"
+add("diff_has_changes", _changes, f"with f as (select replace(file, '.parquet', '') as file, num_rows, bytes from {FILE}), c as (select x.a, x.b, (select count(*) from (select name, t from {_shape} s where s.file = x.a) p full join (select name, t from {_shape} s where s.file = x.b) q on p.name = q.name where p.t is distinct from q.t) n from {_pairs}) select c.a as old, c.b as new, n > 0 or (p.num_rows, p.bytes) <> (q.num_rows, q.bytes) as has_changes, p.num_rows as old_rows, q.num_rows as new_rows, n as schema_changes from c join f p on p.file = c.a join f q on q.file = c.b")
