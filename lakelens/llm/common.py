@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,21 +14,47 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the cluster names none (tests), a temporary one is set."""
+    """The folder all executors share. Where the cluster names none, a temporary one is set in local mode, where every task
+    runs on this machine; elsewhere that is an error, as executors would write to disks that the others can't see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_now = spark.sparkContext.getCheckpointDir()
     if set_now is None:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakelens-"))
         set_now = spark.sparkContext.getCheckpointDir()
     return set_now.rstrip("/")
 
 
+#: The folder of this process's stashes, by session's application.
+_OWN: dict[str, str] = {}
+
+
+def stash_dir(spark: SparkSession) -> str:
+    """A folder below the shared one for what this application writes between stages. It's removed when the driver ends, as a
+    result may be read until then; what a killed driver leaves is named by its application's id."""
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"{shared_dir(spark)}/lakelens/{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _OWN[app])
+    return _OWN[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Through Spark's own file system, wherever the folder is; a session that has ended can't."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the gateway may be gone at exit, and nothing depends on this
+        pass
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakelens/{name}-{uuid.uuid4().hex}"
+    path = f"{stash_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

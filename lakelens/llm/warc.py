@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, spans, stash, trimmed
+from .common import spans, stash, stash_dir, trimmed
 
 #: A block longer than that goes on in continuation records.
 SEGMENT = 65_536
@@ -225,4 +225,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lakelens/warc-{uuid.uuid4().hex}"
+    return f"{stash_dir(spark)}/warc-{uuid.uuid4().hex}"
