@@ -507,3 +507,113 @@ def test_op4_spacing_is_decoded(spark, docs):
     twice = docs.union(docs).union(docs)
     assert toxicity.fit(twice, labels, sample=40).lexicon.keys() == toxicity.fit(docs, labels, sample=40).lexicon.keys()
     assert not toxicity.fit(docs, labels, sample_bytes=0).lexicon
+
+
+def test_stash_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from lakelens.llm.common import shared_dir
+
+    def session(master, named=None):
+        return N(conf=N(get=lambda k, d: named), sparkContext=N(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://lake/tmp/")) == "hdfs://lake/tmp"
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+
+
+def test_hot_ids_are_dealt(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 3000)] + [(i, i + 1) for i in range(5000, 5500)], "a long, b long")
+    got = jaccard_join._dealt(pairs)
+    by = {(r.a, r.s): r["count"] for r in got.groupBy("a", "s").count().collect()}
+    assert got.count() == pairs.count() and sum(a == 1 for a, _ in by) == 12 and max(by.values()) < 400 and all(s == 0 for a, s in by if a > 1)
+    assert jaccard_join._dealt(pairs.limit(0)).count() == 0
+
+
+def recall(rows, k=5, every=50):
+    """(recall, share of the pairs that were scored) by brute force."""
+    looked, got = [], {}
+    for r in search(rows, rows.filter(f"vec_id % {every} = 0"), looked=looked).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    data = sorted((r.vec_id, r.embedding) for r in rows.collect())
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data], float)
+    norm, hit, asked = np.sqrt((x * x).sum(1)), 0, np.flatnonzero(ids % every == 0)
+    for j in asked:
+        s = (x * x[j]).sum(1) / (norm * norm[j])
+        s[j] = -2
+        hit += len(set(got[ids[j]]) & set(ids[np.lexsort((ids, -s))[:k]].tolist()))
+    return hit / (k * len(asked)), looked[0] / (len(asked) * len(ids))
+
+
+def test_op10_looks_where_near_rows_are(spark, monkeypatch):
+    """With several shards: recall without structure, far fewer pairs with structure, and groups of equal vectors."""
+    from lakelens.llm import ann
+
+    monkeypatch.setattr(ann, "SHARD_ROWS", 400)
+    rng = np.random.default_rng(8)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain = rng.standard_normal((3000, 16))
+    near = rng.standard_normal((60, 16))[rng.integers(0, 60, 3000)] + 0.05 * rng.standard_normal((3000, 16))
+    (a, share_a), (b, share_b) = recall(frame(plain)), recall(frame(near))
+    assert a >= 0.9 and b >= 0.9 and share_b < 0.25 < share_a
+    same = np.vstack([np.tile(plain[0], (1000, 1)), plain[:500], plain[:500]])
+    got = {}
+    for r in search(frame(same), frame(same).filter("vec_id in (0, 3, 700, 999, 1001)")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 3, 700, 999):
+        assert [i for _, i, _ in sorted(got[q])] == [i for i in range(6) if i != q][:5] and all(abs(s - 1) < 1e-12 for _, _, s in got[q])
+    assert sorted(got[1001])[0][1] == 1501
+    clash = frame(plain[:20]).selectExpr("vec_id", "embedding", "1 as id", "2 as v", "3 as h", "4 as n", "5 as query_id")
+    assert search(clash, clash.filter("vec_id = 0")).count() == 5 and search(clash, clash.limit(0)).count() == 0
+
+
+def test_op10_prefixes_by_probability():
+    from lakelens.llm import ann
+
+    rng = np.random.default_rng(9)
+    for cosine in (0.3, 0.7, 0.95, 0.999):
+        hit = n = 0
+        for _ in range(60):
+            q = rng.standard_normal(24)
+            q /= np.linalg.norm(q)
+            told = ann.likely(q, 6, cosine)
+            assert len(set(told)) == len(told) <= 64 and told[0] == ann.prefix_of(q[None], 6)[0]
+            for _ in range(20):
+                u = rng.standard_normal(24)
+                u -= (u @ q) * q
+                x = cosine * q + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u)
+                hit, n = hit + (ann.prefix_of(x[None], 6)[0] in told), n + 1
+        assert hit / n >= ann.ROUTED - 0.05
+    assert ann.depth(1.0) == 32 and ann.depth(0.95) > ann.depth(0.5) > ann.depth(0.1) and ann.likely(q, 0, 0.5) == [0]
+
+
+def test_op7_trees_are_kept(spark, odd, tik):
+    """Trees that are written and read again take further edits; untouched leaves stay as they are; clashing columns."""
+    from lakelens.llm.token_counts import TREE, Tree, apply, build
+
+    r, e = random.Random(11), encoder(queries.RANKS)
+    texts = [mess(r, n) for n in (0, 1, 200, 9000)] + ["word " * 60_000, "漢" * 5000]
+    forest = trees(e, texts)
+    for _ in range(4):
+        forest = [Tree.load(*t.store()) for t in forest]
+        step = []
+        for i, (t, x) in enumerate(zip(forest, texts)):
+            a = r.randint(0, len(x))
+            b, new = min(len(x), a + r.choice((0, 3, 700))), mess(r, r.choice((0, 2, 60, 4000)))
+            assert t.byte_of(a) == len(x[:a].encode()) and t.read(t.byte_of(a), t.byte_of(b)).decode() == x[a:b]
+            step.append((t.byte_of(a), t.byte_of(b), new))
+            texts[i] = x[:a] + new + x[b:]
+        edit(e, forest, step)
+        assert [t.total() for t in forest] == [len(tik.encode_ordinary(t)) for t in texts]
+        assert [t.read(0, t.size()).decode() for t in forest] == texts
+    big = trees(e, ["some words here " * 20_000])[0]
+    kept = Tree.load(*big.store())
+    edit(e, [kept], [(160_000, 160_004, "others")])
+    assert sum(len(x[0]) > 0 and not isinstance(x[1], bytes) for x in kept.leaves) < 8  # the rest wasn't read
+    df = odd.withColumn("tree_sums", F.lit(5)).withColumn("edits", F.expr("array(struct(0 as a, 1 as b, 'new ' as c))"))
+    built = build(df, queries.RANKS)
+    out = apply(built, queries.RANKS).collect()
+    want = sorted(len(tik.encode_ordinary("new " + (t or "")[1:])) for _, t in ODD)
+    assert sorted(x.n_tokens_after for x in out) == want and {f.name for f in TREE} <= set(built.columns)
+    assert apply(build(df.limit(0), queries.RANKS), queries.RANKS).count() == 0
