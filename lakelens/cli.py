@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from .functions import report
 from .operators.catalogue import Config
 from .plans.diff import diff
-from .plans.engine import has_failure, lint
+from .plans.engine import has_failure, linted
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -37,9 +37,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("lakelens").getOrCreate()
     try:
         if args.what == "lint":
-            found = lint(spark, args.paths, Config.load(args.config) if args.config else None, args.only, args.disable).persist()
-            print(report.render(found, args.output), end="")
-            return int(args.fail_on != "never" and has_failure(found, args.fail_on))
+            with linted(spark, args.paths, Config.load(args.config) if args.config else None, args.only, args.disable) as (files, found):
+                print(report.render(found, args.output, files), end="")
+                return int(args.fail_on != "never" and has_failure(found, args.fail_on))
         got = diff(spark, [args.old], [args.new])
         print(report.render_diff(got, args.output), end="")
         return int(args.exit_code and got["has_changes"])

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 
-from ..operators.catalogue import BY_ID, FORMATS, RULES
+from ..operators.catalogue import BY_ID, FORMATS, GUIDE, RULES
 
 LEVEL = {"info": "note", "warning": "warning", "error": "error"}
 
@@ -16,18 +16,31 @@ def output_format(name: str) -> str:
     return name.lower() if name.lower() in ("json", "sarif") else "text"
 
 
-def render(diagnostics: DataFrame, form: str = "text") -> str:
+def dataset(files: DataFrame) -> dict:
+    """The files of a scan, and the schema that the others are held against: that of the first file that has one."""
+    rows = [r.asDict(recursive=True) for r in files.select("path", "format", "size_bytes", "num_rows", "schema", "metadata").orderBy("file_idx").collect()]
+    for r in rows:
+        r["size_bytes"] = int(r["size_bytes"])
+    return {"files": rows, "schema": next((r["schema"] for r in rows if r["schema"]), None)}
+
+
+def render(diagnostics: DataFrame, form: str = "text", files: DataFrame | None = None) -> str:
+    """files, a scan, adds the dataset to JSON and the number of files to text."""
     rows = [r.asDict() for r in diagnostics.collect()]
     form = output_format(form)
     if form == "json":
-        return json.dumps({"diagnostics": rows}, indent=2)
+        return json.dumps(({"dataset": dataset(files)} if files is not None else {}) | {"diagnostics": rows}, indent=2)
     if form == "sarif":
-        rules = [{"id": r, "name": BY_ID[r][1] if r in BY_ID else r} for r in sorted({x["rule_id"] for x in rows})]
+        rules = [{"id": r, "name": BY_ID[r][1] if r in BY_ID else r} | ({"shortDescription": {"text": GUIDE[r][0]}, "help": {"text": GUIDE[r][1]}} if r in GUIDE else {}) for r in sorted({x["rule_id"] for x in rows})]
         results = [{"ruleId": x["rule_id"], "level": LEVEL[x["severity"]], "message": {"text": x["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": x["path"] or "dataset"}}}]} for x in rows]
         return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "lakelens", "rules": rules}}, "results": results}]}, indent=2)
     count = {s: sum(x["severity"] == s for x in rows) for s in ("error", "warning", "info")}
-    lines = [f"{len(rows)} diagnostics: " + ", ".join(f"{n} {s}" for s, n in count.items())]
-    lines += [f"{x['path'] or '<dataset>'}{':' + x['location'] if x['location'] else ''}: {x['severity']} {x['rule_id']} {x['message']}" for x in rows]
+    seen = f"{files.count()} files, " if files is not None else ""
+    lines = [f"{seen}{len(rows)} diagnostics: " + ", ".join(f"{n} {s}" for s, n in count.items())]
+    for x in rows:
+        lines.append(f"{x['path'] or '<dataset>'}{':' + x['location'] if x['location'] else ''}: {x['severity']} {x['rule_id']} {x['message']}")
+        if x.get("help"):
+            lines.append(f"  help: {x['help']}")
     return "\n".join(lines) + "\n"
 
 
@@ -49,7 +62,7 @@ def render_diff(report: dict, form: str = "text") -> str:
 
 
 def rules() -> list[dict]:
-    return [dict(zip(("id", "name", "category", "default_severity"), r)) for r in RULES]
+    return [dict(zip(("id", "name", "category", "default_severity"), r)) | {"summary": GUIDE[r[0]][0]} for r in RULES]
 
 
 def formats() -> list[dict]:

@@ -52,6 +52,52 @@ AL306 incompatible-vortex-compression interoperability error
 AL307 missing-vortex-optimization-metadata performance info
 """.strip().splitlines()]
 BY_ID = {r[0]: r for r in RULES}
+#: What each rule looks for, and what to do about a finding.
+GUIDE = {line[:5]: tuple(line[6:].split(" | ")) for line in """
+AL001 Row groups should be large enough to scan well. | Let the writer make larger row groups, or lower min_row_group_rows.
+AL002 Parquet column chunks should have statistics. | Turn the writer's statistics on, so that readers can skip chunks.
+AL003 Files of one dataset should have one schema. | Give all files the same fields, types, order and nullability.
+AL004 Schemas should say where they come from. | Add key-value metadata such as producer, owner or version.
+AL005 Timestamps should mean the same to all readers. | Prefer microseconds without a zone, or try the zone in every reader.
+AL006 A column should be encoded alike in all row groups. | See whether the dictionary overflowed; raise its size or turn it off for the column.
+AL007 A dataset shouldn't be cut into many small files. | Compact the files to some hundred megabytes each.
+AL008 Column chunks should be compressed. | Write with ZSTD or Snappy.
+AL009 INT96 is deprecated. | Write timestamps as INT64 with a logical type.
+AL010 Some encodings are deprecated. | Write with encodings of the current specification.
+AL011 The first LZ4 codec can't be read everywhere. | Write LZ4_RAW, ZSTD or Snappy.
+AL012 Statistics must fit the number of values. | Rewrite the file; its statistics mislead readers.
+AL013 Row groups must have as many rows as the file. | Rewrite the file; its footer contradicts itself.
+AL014 Statistics should count nulls. | Use a writer that counts nulls, so that readers can skip chunks.
+AL015 Counts and sizes can't be negative. | Rewrite the file from its source.
+AL016 A stored stream must be framed as Arrow has it. | Write the stream anew and close its writer.
+AL017 Frames without continuation markers are an old form. | Write the stream with a current version.
+AL018 GeoParquet metadata must follow its specification. | Write version 1 metadata with a primary column and columns.
+AL019 Geometry columns must be declared as they are stored. | Declare each column's encoding and geometry types.
+AL020 Spatial metadata must be well formed. | Correct crs, epoch, orientation, edges, bbox or covering.
+AL021 Geometry columns should help readers to skip. | Add a bbox or a covering.
+AL100 The format is known but not inspected. | Export to Parquet to have it inspected.
+AL101 Table metadata must have a known version. | Write format-version 1, 2 or 3.
+AL102 Table metadata must have what its version requires. | Commit with a client that writes the required fields.
+AL103 Ids must refer to entries that exist. | Restore the last valid metadata file and commit again.
+AL104 Ids must be unique. | Restore the last valid metadata file and commit again.
+AL105 Snapshots and their log must agree. | Repair or expire the snapshot with the table's own tools.
+AL106 Field ids must be positive, unique and known. | Evolve schemas and partitions with the table's own tools.
+AL107 Old snapshots and metadata should go. | Expire snapshots and limit the metadata log.
+AL201 The newest manifest must be readable. | Restore the dataset's last valid version.
+AL202 Fragment ids must be unique and within the maximum. | Restore the dataset's last valid version.
+AL203 Data files must have safe paths and distinct fields. | Write the fragment anew.
+AL204 Deletion files must fit their fragment. | Compact the fragment.
+AL205 Features must be flagged and understood. | Write with a version that all readers understand.
+AL206 Files that a manifest names must exist. | Restore the files, or an older version.
+AL207 Versions, small fragments and deletions should be cleaned up. | Clean up old versions and compact fragments.
+AL301 A container must have its magic, version and postscript. | Write the file anew.
+AL302 The postscript's segments must lie within the file. | Write the file anew.
+AL303 User metadata must have short distinct keys. | Use distinct keys of 1 to 64 bytes.
+AL304 The footer's segments must be ordered and aligned. | Write the file anew.
+AL305 Registries must have distinct names. | Write the file anew.
+AL306 Compression schemes must be known. | Write with schemes that readers know.
+AL307 Files should have a dtype and statistics. | Write both, so that readers can plan without the data.
+""".strip().splitlines()}
 RANK = {"info": 1, "warning": 2, "error": 3}
 #: (name, status, focus) of the formats that are known.
 FORMATS = [("parquet", "built-in", "row groups, statistics, compression, encodings, logical types, GeoParquet"), ("arrow_ipc", "built-in", "framing, schema metadata, timestamps"), ("iceberg", "built-in-metadata", "identifiers, snapshots, references, maintenance"), ("vortex", "built-in-metadata", "container, segments, registries, compression"), ("lance", "built-in-metadata", "manifests, fragments, features, references"), ("duckdb", "planned", "recognition only")]

@@ -71,7 +71,8 @@ def scan_cost(v) -> DataFrame:
 
 def diff(spark: SparkSession, old: list[str], new: list[str]) -> dict:
     """The report of two datasets; small, as it has one entry for each change."""
-    a, b = views(scan(spark, old)), views(scan(spark, new))
+    scans = scan(spark, old), scan(spark, new)
+    a, b = map(views, scans)
     one = lambda df: df.first().asDict()
     rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()]
     before, after = one(scan_cost(a))["cost"] or 0, one(scan_cost(b))["cost"] or 0
@@ -82,4 +83,6 @@ def diff(spark: SparkSession, old: list[str], new: list[str]) -> dict:
     }
     s = out["statistics"]
     out["has_changes"] = bool(out["old"] != out["new"] or out["schema"]["identical"] is False or out["schema"]["changes"] or out["columns"] or out["metadata"] or s["row_groups"]["changed"] or s["compression"][0] != s["compression"][1] or before != after)
+    for x in scans:
+        x.unpersist()
     return out

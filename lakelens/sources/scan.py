@@ -8,6 +8,7 @@ import json
 import os
 import re
 import urllib.request
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,7 +58,23 @@ def expand(paths: list[str], cfg: Config) -> list[str]:
     return sorted(out, key=lambda p: p.split("/"))
 
 
-def _reader(path: str):
+def stored(path: str) -> bool:
+    """Whether a path is in a store that Spark's file systems read: any scheme but HTTP(S)."""
+    return "://" in path and not path.startswith(("http://", "https://"))
+
+
+def listed(spark: SparkSession, paths: list[str], cfg: Config) -> list[str]:
+    """Files of known formats below URIs such as s3a://, gs://, abfss://, hdfs:// or file://, as Spark lists them."""
+    out = set()
+    for p in paths:
+        got = spark.read.format("binaryFile").option("recursiveFileLookup", cfg.recursive).load(p).select("path")
+        out |= {r.path for r in got.toLocalIterator() if format_of(r.path) not in ("unknown", "lance") and ".lance/" not in r.path.lower()}
+    return sorted(out, key=lambda p: p.split("/"))
+
+
+def _reader(path: str, data: bytes | None = None):
+    if data is not None:
+        return (lambda o, n: data[o : o + n]), len(data)
     if path.startswith(("http://", "https://")):
         with urllib.request.urlopen(path, timeout=30) as r:
             data = r.read()
@@ -161,8 +178,9 @@ def _lance(path, cfg):
     return size, {"num_rows": rows, "metadata": meta, "findings": list(documents.lance(out, cfg, stat))}
 
 
-def inspect(path: str, cfg: Config) -> dict | None:
-    """One file's metadata; None for a format that isn't known. What can't be read has a scan_error."""
+def inspect(path: str, cfg: Config, data: bytes | None = None) -> dict | None:
+    """One file's metadata; None for a format that isn't known. What can't be read has a scan_error. data: the file's bytes,
+    where Spark has read them."""
     fmt = format_of(path)
     if fmt == "unknown":
         return None
@@ -173,7 +191,7 @@ def inspect(path: str, cfg: Config) -> dict | None:
                 raise InputError("remote Lance datasets aren't supported")
             size, got = _lance(path, cfg)
         else:
-            read, size = _reader(path)
+            read, size = _reader(path, data)
             if fmt == "parquet":
                 got = _parquet(path, read, size, cfg)
             elif fmt in ("arrow_ipc", "feather"):
@@ -196,20 +214,31 @@ def inspect(path: str, cfg: Config) -> dict | None:
 
 
 def scan(spark: SparkSession, paths: list[str], cfg: Config | None = None) -> DataFrame:
-    """A row for each known file, with file_idx in order of path components. The first file that can't be read is an error."""
+    """A row for each known file, with file_idx in order of path components. The first file that can't be read is an error.
+    Files in stores are read whole, by Spark; of local ones, only the metadata."""
     cfg = cfg or Config()
-    found = [(i, p) for i, p in enumerate(p for p in expand(paths, cfg) if format_of(p) != "unknown")]
+    local = [p for p in expand([p for p in paths if not stored(p)], cfg) if format_of(p) != "unknown"]
+    remote = listed(spark, [p for p in paths if stored(p)], cfg)
+    found = list(enumerate(sorted([*local, *remote], key=lambda p: p.split("/"))))
     if not found:
         raise InputError("no supported inputs found")
-    n = min(len(found), max(1, spark.sparkContext.defaultParallelism * 4))
+    place = spark.createDataFrame(found, "file_idx int, path string")
 
     def run(batches):
         for b in batches:
-            docs = [json.dumps(inspect(p, cfg)) for p in b.column(1).to_pylist()]
+            data = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            docs = [json.dumps(inspect(p, cfg, x)) for p, x in zip(b.column(1).to_pylist(), data)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(docs, pa.string())], names=["file_idx", "doc"])
 
-    listed = spark.createDataFrame(found, "file_idx int, path string").repartition(n)
-    got = listed.mapInArrow(run, "file_idx int, doc string").select("file_idx", F.from_json("doc", SCHEMA).alias("d")).select("file_idx", "d.*").persist()
+    parts = []
+    if local:
+        n = min(len(local), max(1, spark.sparkContext.defaultParallelism * 4))
+        own = set(local)
+        parts.append(spark.createDataFrame([f for f in found if f[1] in own], place.schema).repartition(n).mapInArrow(run, "file_idx int, doc string"))
+    if remote:
+        read = spark.read.format("binaryFile").load(remote).select("path", "content")
+        parts.append(read.join(place, "path").select("file_idx", "path", "content").mapInArrow(run, "file_idx int, doc string"))
+    got = reduce(DataFrame.union, parts).select("file_idx", F.from_json("doc", SCHEMA).alias("d")).select("file_idx", "d.*").persist()
     failed = got.filter("scan_error is not null").orderBy("file_idx").limit(1).collect()
     if failed:
         raise InputError(f"{failed[0].path}: {failed[0].scan_error}")

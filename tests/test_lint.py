@@ -301,3 +301,32 @@ def test_stream(spark, tmp_path):
     q = lint_stream(spark.readStream.schema("path string").json(str(paths)), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert set(ids(spark.read.parquet(str(tmp_path / "out")))) == {"AL001", "AL004"}
+
+
+def test_stores_through_spark(spark, tmp_path):
+    """What a URI that Spark's file systems read names is found, read and judged like local files."""
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    pq.write_table(SMALL, str(deep / "x.parquet"), compression="none")
+    (tmp_path / "a" / "v1.metadata.json").write_text(json.dumps(samples.ledger(3, LINES) | {"format-version": 9}))
+    (tmp_path / "a" / "t.vortex").write_bytes(vortex(version=2))
+    (tmp_path / "a" / "notes.txt").write_text("x")
+    local, far = (ids(api.lint(spark, p)) for p in (str(tmp_path), f"file://{tmp_path}"))
+    assert local == far and {"AL008", "AL101", "AL301"} <= set(far)
+    with pytest.raises(InputError):
+        api.lint(spark, f"file://{tmp_path}/a/notes.txt")
+    both = api.lint(spark, [f"file://{deep}/x.parquet", str(tmp_path / "a" / "t.vortex")], only=["AL008", "AL301"])
+    assert ids(both) == {"AL008": 1, "AL301": 1}
+
+
+def test_report_has_dataset_and_help(spark, tmp_path, capsys):
+    from lakelens.functions import report
+
+    pq.write_table(SMALL, str(tmp_path / "a.parquet"), compression="none")
+    with api.linted(spark, str(tmp_path)) as (files, found):
+        doc = json.loads(report.render(found, "json", files))
+        text = report.render(found, "text", files)
+    assert [f["num_rows"] for f in doc["dataset"]["files"]] == [3] and doc["dataset"]["schema"]["fields"][0]["name"] == "id"
+    assert text.startswith("1 files, ") and "\n  help: " in text and all(d["help"] for d in doc["diagnostics"])
+    assert not files.storageLevel.useMemory and not found.storageLevel.useMemory
+    assert all(r["summary"] for r in report.rules()) and cli.main(["rules"], spark) == 0 and "summary" not in capsys.readouterr().err
