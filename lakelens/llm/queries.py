@@ -135,3 +135,24 @@ links as (select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g =
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach as (select doc_id, doc_id as other from sets union select r.doc_id, l.y from reach r join links l on r.other = l.x)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.other) as component_id from sets s join reach r on r.doc_id = s.doc_id group by s.doc_id, len(s.s)"""
+#: Word windows by position, the holdout's counts at each cutoff, the binomial tails, and the tightest cutoff before one fails.
+ORACLE["op3_quality_rules"] = r"""
+with w as (select doc_id, coalesce(lang, '?') as s, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from documents),
+grams as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2)),
+twice as (select doc_id, g from grams group by doc_id, g having count(*) > 1),
+again as (select doc_id, count(distinct j) as r from (select doc_id, unnest([i, i + 1, i + 2]) as j from grams join twice using (doc_id, g)) group by doc_id),
+counted as (select doc_id, s, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r, 0)::bigint as n_repeat_words from w left join again using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 1000 * n_symbols / greatest(word_chars, 1)::double as a, 1000 * n_dup_lines / greatest(n_lines, 1)::double as b,
+    1000 * n_repeat_words / greatest(n_words, 1)::double as c, 1000 * word_chars / greatest(n_words, 1)::double / 100 as d from counted),
+scores as (select doc_id, s, base_failed, unnest(['a', 'b', 'c', 'd']) as rule, unnest([a, b, c, d]) as score from f),
+held as (select * from scores where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+size as (select s, count(*) // 4 as n from held group by s),
+grid as (select distinct round(1000 * pow(0.85, k), 1) as cut from range(40) r(k)),
+seen as (select s, rule, cut, count(*) filter (score > cut) as k from held, grid group by s, rule, cut),
+tails as (select s, rule, cut, case when k >= n then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005::double) + (n - i) * ln(0.995::double)))) end
+    > 0.05 / (4 * (select count(*) from size)) as fails from seen join size using (s)),
+cuts as (select s, rule, min(cut) as cut from tails x where cut > coalesce((select max(cut) from tails y where y.s = x.s and y.rule = x.rule and y.fails), -1) group by s, rule),
+out as (select distinct doc_id from scores join cuts using (s, rule) where score > cut)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from out) as kept from f"""
