@@ -142,6 +142,10 @@ def spaced(ws: list[str]) -> list[str]:
     return out
 
 
+NOTHING = (frozenset(), frozenset())
+SIGNS = frozenset(LEET)
+
+
 class Spacing:
     """Finds words of a lexicon that are written in pieces: windows of words whose characters, by what the channel may have
     made of them, spell one. Each window is then read by the lattice, where every space is kept or dropped."""
@@ -149,8 +153,15 @@ class Spacing:
     def __init__(self, lexicon, decoder: Decoder):
         self.whole = {f[:-1] for f in lexicon if f.endswith(" ") and len(f) > 3}
         self.begins = {w[:n] for w in self.whole for n in range(len(w) + 1)}
+        # written forms that first pieces without signs have: in either case, a letter twice, or a letter and a stop
+        plain = {w for w in self.begins if w} | {w[:n] + w[n:][:1] + w[n:] for w in self.begins for n in range(len(w))} | {c + stop for c in self.begins if len(c) == 1 for stop in ".,-"}
+        self.plain = plain | {w.upper() for w in plain} | {w.capitalize() for w in plain}
+        self.after: dict[str, list[str]] = {}  # the words that go on from a beginning
+        for w in self.whole:
+            for n in range(1, len(w)):
+                self.after.setdefault(w[:n], []).append(w)
         self.decoder = decoder
-        self.opens: dict[str, frozenset] = {}
+        self.opens: dict[str, tuple[frozenset, frozenset]] = {}
 
     def follow(self, states: frozenset, word: str) -> frozenset:
         """What of the lexicon's words may have been spelt after a further piece."""
@@ -165,26 +176,34 @@ class Spacing:
         """The states after a first piece, none if nothing of a word was spelt."""
         return self.follow(frozenset([""]), word.lower()) - {""}
 
+    def ahead(self, word: str) -> tuple[frozenset, frozenset]:
+        """(the states after a first piece, the characters that the next piece may begin with)."""
+        states = self.open(word)
+        if not states:
+            return NOTHING
+        after = {s[-1] for s in states} | {w[len(s)] for s in states for w in self.after.get(s, ())}
+        signs = {c for c, stands in LEET.items() if "" in stands or not after.isdisjoint(stands)}
+        return states, frozenset(after | {c.upper() for c in after} | signs)
+
     def windows(self, ws: list[str]):
         """(first, end) of the longest windows, from each first piece that isn't the one before it again."""
-        found = list(map(self.opens.get, ws))
-        if None in found:
-            if len(self.opens) > CACHE:
-                self.opens.clear()
-            for w in set(ws):
-                if w not in self.opens:
-                    self.opens[w] = self.open(w)
-            found = list(map(self.opens.get, ws))
         until = 0
-        for i, states in enumerate(found):
-            if not states or i < until or i and ws[i] == ws[i - 1]:
+        for i in [i for i, w in enumerate(ws) if w in self.plain or not w.isalpha() and not SIGNS.isdisjoint(w)]:
+            if (x := self.opens.get(ws[i])) is None:
+                if len(self.opens) > CACHE:
+                    self.opens.clear()
+                x = self.opens[ws[i]] = self.ahead(ws[i])
+            if i + 1 == len(ws) or ws[i + 1][0] not in x[1]:
+                continue
+            if i < until or i and ws[i] == ws[i - 1]:
                 continue
+            first = states = x[0]
             end, j = 0, i + 1
             while j < len(ws) and (states := self.follow(states, ws[j].lower())):
                 j += 1
                 if not self.whole.isdisjoint(states):
                     end = j
-            if end and (i + 1 == end or self.whole.isdisjoint(self.opens[ws[i]])):
+            if end and self.whole.isdisjoint(first):
                 until = end
                 yield i, end
 
@@ -319,11 +338,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         decoder = state.setdefault("decoder", Decoder(m.trigrams))
         cache = state.setdefault("cache", {})
-        spacing = state.setdefault("spacing", Spacing(m.lexicon, decoder))
+        spacing = state.setdefault("spacing", Spacing([f for f, k in m.lexicon.items() if m.weights[k] > 0], decoder))
         out = []
         for t in cols[0].to_pylist():
             ws = (t or "").split()
-            ws += spacing.words(ws)
+            ws += list(spacing.words(ws))
             found = list(map(cache.get, ws))
             if None in found:
                 for w in {w for w, k in zip(ws, found) if k is None}:
