@@ -29,7 +29,8 @@ from .shingles import U, bitmap, mix, shingle_set, words
 
 FLUSH = 1_500_000  # shingles that a map task signs at a time
 NARROW, ALL_PAIRS = 3, 4  # ids of a tile that all go on from a map task; that are all compared with each other
-FAN = 256  # members of a tile that share one copy of its smallest
+FAN = 256  # members of a large tile that share one copy of its smallest
+HOT = 4096  # more ids than that are never dealt to several copies
 BLOCK = 512  # sets in a block of a family
 
 
@@ -332,6 +333,15 @@ def _first_round(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return out.repartition(partitions(df.sparkSession), "bucket").mapInArrow(trimmed(meet), "kind int, a long, b long, bits binary")
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with s: an a that has many is dealt to several s, so that no task gets all of its pairs. Only those with
+    more than a HOT-th of all pairs are, so fewer than HOT rows are broadcast, however many pairs there are."""
+    count = stash(pairs.groupBy("a").agg(F.count("*").alias("c")), "jaccard-counts")
+    least = max(FAN, (count.agg(F.sum("c")).first()[0] or 0) // HOT)
+    hot = count.filter(F.col("c") > least).select("a", F.ceil(F.col("c") / FAN).alias("copies"))
+    return pairs.join(F.broadcast(hot), "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).alias("s"), "b")
+
+
 def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose bitmaps leave room for a link. sets has id, size and bits."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
@@ -341,7 +351,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
             keep = [room((x, y), (bx, by), num, den) for x, bx, y, by in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(trimmed(run), "a long, b long")
+    dealt = _dealt(pairs)
+    heads = dealt.select("a", "s").distinct().join(side("a"), "a")
+    return dealt.join(heads, ["a", "s"]).join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -357,8 +369,7 @@ def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are linked. Members of a large tile go to several copies of its smallest."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("copies"))
-    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).alias("s"), "b")
+    dealt = _dealt(pairs)
     need = dealt.select("a", "s", F.col("b").alias("id"), F.lit(1).alias("member")).union(dealt.select("a", "s", F.col("a").alias("id"), F.lit(0).alias("member")).distinct())
     rows = need.join(_only(df, need), "id").repartition(partitions(df.sparkSession), "a", "s").sortWithinPartitions("a", "s", "member").select("a", "s", "member", "id", "text")
 
