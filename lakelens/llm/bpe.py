@@ -18,7 +18,7 @@ L, N, O, AP0, AP1, AP2, SP_MID, SP_LAST, WS_MID, WS_LAST = range(10)
 IN_L, IN_N, IN_O, SPACE_OPEN, IN_WS, NEED1, NEED2, CLOSED = range(8)
 BLOCK = 128
 #: Pre-tokens a worker remembers: the first that it meets, so the frequent ones, and no more, so that its memory is bounded.
-CACHE = 200_000
+CACHE = 300_000
 #: Characters that are split at a time; a longer text is cut where a token is sure to start.
 MOST = 262_144
 

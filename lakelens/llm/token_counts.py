@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .bpe import Encoder, blocks, boundaries, encoder
 from .common import stash, with_columns
 
-LEAF = 64  # pre-tokens in a leaf when a tree is built
+LEAF = 128  # pre-tokens in a leaf when a tree is built
 WINDOW = 96  # bytes after an edit that are looked at first
 #: What a node sums: bytes, characters, tokens, pre-tokens.
 BYTES, CHARS, TOKENS, PIECES = range(4)
