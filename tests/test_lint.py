@@ -330,3 +330,17 @@ def test_report_has_dataset_and_help(spark, tmp_path, capsys):
     assert text.startswith("1 files, ") and "\n  help: " in text and all(d["help"] for d in doc["diagnostics"])
     assert not files.storageLevel.useMemory and not found.storageLevel.useMemory
     assert all(r["summary"] for r in report.rules()) and cli.main(["rules"], spark) == 0 and "summary" not in capsys.readouterr().err
+
+
+def test_al303_samples_of_many_lines_are_dealt_to_files():
+    """An order of more than 16 lines has several files, so that none breaks the bound on entries; repeats count as in one file."""
+    from lakelens.operators import samples
+
+    assert samples.ENTRIES == 16
+    for count in (16, 17, 40, 70):
+        for keys in (1, 3, 7):
+            lines = sorted(({"n": 1 + i * 5 % keys, "p": i, "s": 1 + i * 7 % 9, "q": 3} for i in range(count)), key=lambda x: (x["n"], x["p"]))
+            empty = sum(x["s"] % 5 == 0 for x in lines)
+            kept = [x["n"] for x in lines if x["s"] % 5]
+            assert samples.fired("AL303", 1, lines) == empty + len(kept) - len(set(kept)), (count, keys)
+    assert any("more than 16" in f[2] for f in samples.documents.vortex(samples.vortex("AL303", 1, lines)))
