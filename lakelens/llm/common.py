@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,11 +52,28 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+#: Set, a query's shuffle files go at its end. Else they stay until the driver happens to collect its garbage, so that those of
+#: all steps of an operator may lie on the disks at once.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession):
+    """Queries that run here leave no shuffle files behind."""
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{stash_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,8 @@
    its texts; what they leave is decided by the intersection of the sorted arrays.
 3. Where a large tile still has several components, another member may join them. Its components form a family. The sets of all
    components but the largest of a family, in order of size, fill blocks, and these meet each other and the largest's blocks
-   where sizes can match, by bitmap first.
+   where sizes can match. First only their bitmaps do: sets that no other component's leaves room for go, and components that
+   nothing leaves room between part. What is left of a family, mostly little, meets again with its texts.
 
 The order is a heuristic that the result doesn't hang on: a bounded table has the shingles that some map task met often.
 """
@@ -32,6 +33,7 @@ NARROW, ALL_PAIRS = 3, 4  # ids of a tile that all go on from a map task; that a
 FAN = 256  # members of a large tile that share one copy of its smallest
 HOT = 4096  # more ids than that are never dealt to several copies
 BLOCK = 512  # sets in a block of a family
+BLOCKS = 64  # of a family when bitmaps meet; a large family's blocks have more sets, so that a set has no more copies
 
 
 #: Bits of the table that filters texts by id.
@@ -393,29 +395,128 @@ def _verify(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int) -> Data
     return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
-def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links between components of a family: members has id, root, family and main (1 in its largest component)."""
-    def measure(batches):
-        for b in batches:
-            sizes = [len(shingle_set(words(t), n)) for t in b.column(4).to_pylist()]
-            yield _batch([*b.columns, pa.array(sizes, pa.int64())], ["family", "root", "main", "id", "text", "size"])
+def _named(family: DataFrame) -> DataFrame:
+    """(root, family) for each root of components' families, also for those that the families are named by."""
+    return family.select(F.col("node").alias("root"), F.col("root").alias("family")).union(family.select("root", F.col("root").alias("family"))).distinct()
 
-    sized = stash(members.join(_only(df, members), "id").select("family", "root", "main", "id", "text").mapInArrow(trimmed(measure), "family long, root long, main int, id long, text string, size long"), "jaccard-family")
+
+def _mains(members: DataFrame) -> DataFrame:
+    """members (id, root, family) with main: 1 in the largest component of a family."""
+    largest = members.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "root"))["root"].alias("largest"))
+    return members.join(largest, "family").withColumn("main", (F.col("root") == F.col("largest")).cast("int")).select("id", "root", "family", "main")
+
+
+def _meetings(sized: DataFrame, what: str, num: int, den: int, most: int | None = None) -> DataFrame:
+    """Rows family, x, y, block, root, id, size, what: the sets of the blocks x and y of a family, side by side, for all blocks
+    that can hold linked sets. most bounds a family's blocks, of its largest component and of the others."""
     # a histogram of sizes gives each size its first block, so no family is sorted in one place
     count = sized.groupBy("family", "main", "size").agg(F.count("*").alias("c"))
-    ahead = F.sum("c").over(Window.partitionBy("family", "main").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
-    place = count.withColumn("ahead", F.coalesce(ahead, F.lit(0))).withColumn("first", F.floor(F.col("ahead") / BLOCK)).withColumn("last", F.floor((F.col("ahead") + F.col("c") - 1) / BLOCK))
+    within = Window.partitionBy("family", "main")
+    ahead = F.sum("c").over(within.orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    each = F.greatest(F.lit(BLOCK), F.ceil(F.sum("c").over(within) / most)) if most else F.lit(BLOCK)
+    place = count.withColumn("ahead", F.coalesce(ahead, F.lit(0))).withColumn("each", each).withColumn("first", F.floor(F.col("ahead") / F.col("each"))).withColumn("last", F.floor((F.col("ahead") + F.col("c") - 1) / F.col("each")))
     number = F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1)
     blocks = sized.join(place.select("family", "main", "size", "first", "last"), ["family", "main", "size"]).withColumn("block", 2 * number + F.col("main"))
     spans = stash(blocks.groupBy("family", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "jaccard-blocks")
     # blocks only: x meets y if their sizes can match, and never both of the largest component (odd numbers)
     two = spans.select("family", F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")).join(spans.select("family", F.col("block").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "family").filter(F.expr(f"x <= y and (x % 2 = 0 or y % 2 = 0) and xhi * {den} >= ylo * {num} and yhi * {den} >= xlo * {num}"))
     sides = two.select("family", F.col("x").alias("block"), "x", "y").union(two.filter("x < y").select("family", F.col("y").alias("block"), "x", "y"))
-    rows = blocks.select("family", "block", "root", "id", "text").join(sides, ["family", "block"]).repartition(partitions(df.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y").select("family", "x", "y", "block", "root", "id", "text")
+    rows = blocks.select("family", "block", "root", "id", "size", what).join(sides, ["family", "block"]).repartition(partitions(sized.sparkSession), "family", "x", "y")
+    return rows.sortWithinPartitions("family", "x", "y").select("family", "x", "y", "block", "root", "id", "size", what)
+
+
+def _groups(batches):
+    """(whether a block meets itself, its rows (id, root, block, size, what)) of the rows that _meetings gives."""
+    key, group = None, []
+    for batch in batches:
+        for family, x, y, block, r, i, size, what in zip(*(c.to_pylist() for c in batch.columns)):
+            if (family, x, y) != key:
+                if group:
+                    yield key[1] == key[2], group
+                key, group = (family, x, y), []
+            group.append((i, r, block, size, what))
+    if group:
+        yield key[1] == key[2], group
+
+
+def by_width(rows: list) -> dict[int, tuple[np.ndarray, ...]]:
+    """ids, roots, sizes and bitmaps of rows (id, root, block, size, bits), by the bitmaps' bytes, each in order of size."""
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r[3]):
+        out.setdefault(len(r[4]), []).append(r)
+    return {w: (*(np.array([r[k] for r in rs], np.int64) for k in (0, 1, 3)), np.frombuffer(b"".join(r[4] for r in rs), U).reshape(len(rs), -1)) for w, rs in out.items()}
+
+
+def near(group: list, own: bool, num: int, den: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """(a forest of the roots between whose sets bitmaps leave room for a link, the ids of such sets). A block meets itself
+    (own) or the other one of the group; the wider bitmaps are folded."""
+    found: dict[int, int] = {}
+
+    def root(x):
+        while found.get(x, x) != x:
+            x = found[x]
+        return x
+
+    edges, ids = [], set()
+    left = by_width(group if own else [g for g in group if g[2] == group[0][2]])
+    right = left if own else by_width([g for g in group if g[2] != group[0][2]])
+    for w, (ids_x, roots_x, sizes_x, bits_x) in left.items():
+        for v, (ids_y, roots_y, sizes_y, bits_y) in right.items():
+            if own and v < w:
+                continue
+            x, y = bits_x, bits_y
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+            low = np.searchsorted(sizes_y, -(-num * sizes_x // den), "left")
+            high = np.searchsorted(sizes_y, den * sizes_x // num, "right")
+            for i, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
+                a = max(a, i + 1) if own and v == w else a
+                if a >= b:
+                    continue
+                need = -(-num * (sizes_y[a:b] + sizes_x[i]) // (num + den))
+                fits = (roots_y[a:b] != roots_x[i]) & (sizes_x[i] - np.bitwise_count(x[i] & ~y[a:b]).sum(1, dtype=np.int64) >= need)
+                at = a + np.flatnonzero(fits)
+                if len(at):
+                    at = at[sizes_y[at] - np.bitwise_count(y[at] & ~x[i]).sum(1, dtype=np.int64) >= need[at - a]]
+                if len(at):
+                    ids.add(int(ids_x[i]))
+                    ids.update(ids_y[at].tolist())
+                    for r in np.unique(roots_y[at]).tolist():
+                        if (p := root(int(roots_x[i]))) != (q := root(r)):
+                            found[max(p, q)] = min(p, q)
+                            edges.append((int(roots_x[i]), r))
+    return edges, ids
+
+
+def _near(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (kind, a, b): 0 two roots of a family between whose sets bitmaps leave room for a link, as far as it takes to
+    connect all such roots, 1 the id of such a set. members has id, root, family and main; sets has id, size and bits."""
+    sized = stash(members.join(sets, "id").select("family", "root", "main", "id", "size", "bits"), "jaccard-family")
+
+    def run(batches):
+        for own, group in _groups(batches):
+            edges, ids = near(group, own, num, den)
+            if edges:
+                kind = pa.array([0] * len(edges) + [1] * len(ids), pa.int32())
+                yield _batch([kind, pa.array([*(a for a, _ in edges), *ids], pa.int64()), pa.array([*(b for _, b in edges), *[None] * len(ids)], pa.int64())], ["kind", "a", "b"])
+
+    return _meetings(sized, "bits", num, den, BLOCKS).mapInArrow(trimmed(run), "kind int, a long, b long")
+
+
+def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links between components of a family: members has id, root, family and main (1 in its largest component)."""
+    def measure(batches):
+        for b in batches:
+            sizes = [len(shingle_set(words(t), n)) for t in b.column(4).to_pylist()]
+            yield _batch([*b.columns, pa.array(sizes, pa.int64())], ["family", "root", "main", "id", "text", "size"])
+
+    sized = stash(members.join(_only(df, members), "id").select("family", "root", "main", "id", "text").mapInArrow(trimmed(measure), "family long, root long, main int, id long, text string, size long"), "jaccard-family")
 
     def compare(group, own):
         ids, roots, side = np.array([g[0] for g in group]), np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        sets = [shingle_set(words(g[3]), n) for g in group]
+        sets = [shingle_set(words(g[4]), n) for g in group]
         bits, sizes = np.array([bitmap(s) for s in sets]), np.fromiter(map(len, sets), np.int64, len(sets))
         found = {}
 
@@ -439,21 +540,11 @@ def _families(members: DataFrame, df: DataFrame, n: int, num: int, den: int) ->
         return out
 
     def run(batches):
-        key, group = None, []
-
-        def done():
-            out = compare(group, key[1] == key[2]) if group else []
-            return _batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        for own, group in _groups(batches):
+            out = compare(group, own)
+            yield _batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            for family, x, y, block, r, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (family, x, y) != key:
-                    yield done()
-                    key, group = (family, x, y), []
-                group.append((i, r, block, text))
-        yield done()
-
-    return rows.mapInArrow(trimmed(run), "a long, b long")
+    return _meetings(sized, "text", num, den).mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_components(df: DataFrame, num: int, den: int, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -476,14 +567,17 @@ def jaccard_components(df: DataFrame, num: int, den: int, n: int, doc_id: str =
     apart = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
     family = components(apart, "jaccard-families")
     if not family.isEmpty():
-        family = family.select(F.col("node").alias("root"), F.col("root").alias("family")).union(family.select("root", F.col("root").alias("family"))).distinct()
+        family = _named(family)
         inside = root.select(F.col("node").alias("id"), "root").union(family.select(F.col("root").alias("id"), "root"))
         # a copy of a set that is compared anyway need not be compared again
         copies = sure.select(F.col("b").alias("id")).distinct()
         members = stash(family.join(inside, "root").select("id", "root", "family").distinct().join(copies, "id", "left_anti"), "jaccard-members")
-        largest = members.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "root"))["root"].alias("largest"))
-        members = members.join(largest, "family").withColumn("main", (F.col("root") == F.col("largest")).cast("int")).select("id", "root", "family", "main")
-        links = stash(links.union(_families(members, texts, n, num, den)), "jaccard-links")
-        root = components(links)
+        close = stash(_near(_mains(members), sets, num, den), "jaccard-near")
+        family = components(close.filter("kind = 0").select("a", "b"), "jaccard-families")
+        if not family.isEmpty():
+            members = members.select("id", "root").join(close.filter("kind = 1").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+            members = stash(members.join(_named(family), "root").select("id", "root", "family").distinct(), "jaccard-members")
+            links = stash(links.union(_families(_mains(members), texts, n, num, den)), "jaccard-links")
+            root = components(links)
     docs = got.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return docs.join(root, docs.doc_id == root.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from lakelens.llm import jaccard_join, pii, quality, queries, toxicity, url_filt
 from lakelens.llm.ann import search
 from lakelens.llm.bpe import Encoder, encoder
 from lakelens.llm.bpe_codec import decode, encode
-from lakelens.llm.common import table
+from lakelens.llm.common import stash, table
 from lakelens.llm.packing import fill, pack
 from lakelens.llm.shingles import shingle_set, words
 from lakelens.llm.token_counts import count_edits, edit, trees
@@ -617,3 +618,33 @@ def test_op7_trees_are_kept(spark, odd, tik):
     want = sorted(len(tik.encode_ordinary("new " + (t or "")[1:])) for _, t in ODD)
     assert sorted(x.n_tokens_after for x in out) == want and {f.name for f in TREE} <= set(built.columns)
     assert apply(build(df.limit(0), queries.RANKS), queries.RANKS).count() == 0
+
+
+def test_stash_leaves_no_shuffle_files(spark):
+    """Else all steps of an operator lie on the disks together, until the driver collects its garbage."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+    before = files()
+    out = stash(spark.range(100_000).withColumn("k", F.col("id") % 977).repartition(4, "k").groupBy("k").agg(F.max("id")), "freed")
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 977
+
+
+def test_bitmaps_part_families_without_losing_links():
+    """A pair that is linked is among the ids that stay, and its roots are connected."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([(s := base[(a := int(r.integers(0, 40))) : a + int(r.integers(60, 360))])[r.random(len(s)) > 0.04], r.integers(0, 1 << 63, int(r.integers(0, 12)), dtype=np.uint64)])) for _ in range(120)]
+    sets += [np.unique(r.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in r.integers(1, 900, 80)]
+    rows = [(i, 1000 + i // 2, i % 2, len(s), jaccard_join.bitmap(s, jaccard_join.width(len(s))).tobytes()) for i, s in enumerate(sets)]
+    for own in (True, False):
+        edges, ids = jaccard_join.near(rows, own, 80, 100)
+        part = {x[1]: x[1] for x in rows}
+        for a, b in edges:
+            assert part[a] != part[b]
+            part = {k: part[a] if v == part[b] else v for k, v in part.items()}
+        links = [(i, j) for i in range(200) for j in range(i) if rows[i][1] != rows[j][1] and (own or i % 2 != j % 2) and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))]
+        assert len(links) > 50 and all({i, j} <= ids and part[rows[i][1]] == part[rows[j][1]] for i, j in links)
+        assert not ids & set(range(120, 200))  # what nothing is close to goes
