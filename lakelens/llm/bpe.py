@@ -6,6 +6,7 @@ import base64
 import heapq
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -17,6 +18,10 @@ L, N, O, AP0, AP1, AP2, SP_MID, SP_LAST, WS_MID, WS_LAST = range(10)
 # States: what the token that holds the previous character still accepts.
 IN_L, IN_N, IN_O, SPACE_OPEN, IN_WS, NEED1, NEED2, CLOSED = range(8)
 BLOCK = 128
+#: The rank of a pair that makes no token.
+NONE = 1 << 60
+#: Bytes of a pre-token up to which pre-tokens are merged side by side.
+SIDE = 32
 #: Pre-tokens a worker remembers: the first that it meets, so the frequent ones, and no more, so that its memory is bounded.
 CACHE = 300_000
 #: Characters that are split at a time; a longer text is cut where a token is sure to start.
@@ -139,8 +144,106 @@ class Encoder:
         self.width = np.fromiter(map(len, by_id), np.int64, size)
         self.begin = np.concatenate([[0], np.cumsum(self.width)[:-1]])
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        every = [self.ranks.get(bytes([b])) for b in range(256)]
+        self.single = None if None in every else np.array(every, np.int64)
+        self._pairs()
         self._reset()
 
+    def _pairs(self) -> None:
+        """The pairs of tokens that join to a token, as a table of slots by hash; a slot that is taken passes on to the next."""
+        ranks = self.ranks
+        got = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        keys, ids = np.array([k for k, _ in got], np.int64), np.array([r for _, r in got], np.int64)
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.pair, self.joint, self.steps = np.full(size, -1, np.int64), np.full(size, NONE), 0
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.pair[at[left]] < 0
+            self.pair[at[left[free]]] = keys[left[free]]  # of several the last has it
+            here = self.pair[at[left]] == keys[left]
+            self.joint[at[left[here]]] = ids[left[here]]
+            left = left[~here]
+            at[left] = at[left] + 1 & size - 1
+            self.steps += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the token that a and b make, or NONE."""
+        keys = a << 32 | b
+        at = self._slot(keys)
+        out = np.where(self.pair[at] == keys, self.joint[at], NONE)
+        left = np.flatnonzero((out == NONE) & (self.pair[at] >= 0))
+        for _ in range(1, self.steps):
+            if not len(left):
+                break
+            at[left] = at[left] + 1 & len(self.pair) - 1
+            out[left] = np.where(self.pair[at[left]] == keys[left], self.joint[at[left]], NONE)
+            left = left[(out[left] == NONE) & (self.pair[at[left]] >= 0)]
+        return out
+
+    def _merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each): merge for words of 2 to SIDE bytes side by side, a step of each word at a time."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(n.max())
+        inside = np.arange(wide) < n[:, None]
+        ids = np.zeros((len(words), wide), np.int64)
+        ids[inside] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((len(words), wide), NONE)  # of the pair that begins here
+        both = inside[:, 1:]
+        rank[:, :-1][both] = self._join(ids[:, :-1][both], ids[:, 1:][both])
+        todo, place = np.arange(len(words)), np.arange(wide)
+        while len(todo):
+            i = rank[todo].argmin(1)  # the leftmost of the least
+            best = rank[todo, i]
+            more = best < NONE
+            todo, i, best = todo[more], i[more], best[more]
+            if not len(todo):
+                break
+            # the rest moves up by one
+            take = np.minimum(place + (place > i[:, None]), wide - 1)
+            ids[todo] = np.take_along_axis(ids[todo], take, 1)
+            rank[todo] = np.take_along_axis(rank[todo], take, 1)
+            rank[todo, -1] = NONE
+            ids[todo, i] = best
+            n[todo] -= 1
+            right = i + 1 < n[todo]
+            rank[todo, i] = NONE
+            left = i > 0
+            r, rc, l, lc = todo[right], i[right], todo[left], i[left] - 1
+            got = self._join(np.concatenate([best[right], ids[l, lc]]), np.concatenate([ids[r, rc + 1], best[left]]))
+            rank[r, rc], rank[l, lc] = got[: len(r)], got[len(r) :]
+        return ids[place < n[:, None]], n
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each) by merge; words of like length are taken together."""
+        tokens, by = [], {}
+        for k, w in enumerate(words):
+            if (r := self.ranks.get(w)) is not None:
+                by.setdefault(0, []).append(k)
+                tokens.append(r)
+            elif len(w) > SIDE or self.single is None:
+                by.setdefault(-1, []).append(k)
+            else:
+                by.setdefault(-(-len(w) // 4), []).append(k)
+        whole, slow = by.pop(0, []), by.pop(-1, [])
+        long = [self.merge(words[k]) for k in slow]
+        # (places of words, their ids, ids in each)
+        parts = [(whole, tokens, [1] * len(whole)), (slow, [*chain.from_iterable(long)], [*map(len, long)])]
+        for which in by.values():
+            for i in range(0, len(which), 8192):
+                parts.append((which[i : i + 8192], *self._merge_many([words[k] for k in which[i : i + 8192]])))
+        at, ids, lens = (np.concatenate([np.asarray(x, np.int64) for x in xs]) for xs in zip(*parts))
+        own = np.empty(len(words), np.int64)
+        own[at] = lens
+        begin = np.cumsum(own) - own
+        out = np.empty(len(ids), np.int64)
+        out[np.repeat(begin[at] - (np.cumsum(lens) - lens), lens) + np.arange(len(ids))] = ids
+        return out, own
+
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int64)
@@ -196,13 +299,9 @@ class Encoder:
         for w in self.guests:
             del self.index[w]
         self.guests = []
-        first, ids = len(self.index), []
-        lens = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            got = self.merge(w)
-            ids += got
-            lens[k] = len(got)
-            self.index[w] = first + k
+        first = len(self.index)
+        ids, lens = self._merged(words)
+        self.index.update(zip(words, range(first, first + len(words))))
         self.guests = words[max(0, CACHE - first) :]
         used = int(self.off[first - 1] + self.len[first - 1]) if first else 0
         while first + len(words) > len(self.off):
@@ -222,8 +321,10 @@ class Encoder:
         found = list(map(self.index.get, words))
         if None in found:
             guests = set(self.guests)
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None or w in guests)))
-            found = list(map(self.index.get, words))
+            again = [i for i, (w, k) in enumerate(zip(words, found)) if k is None or w in guests] if guests else [i for i, k in enumerate(found) if k is None]
+            self._learn(list(dict.fromkeys(words[i] for i in again)))
+            for i in again:
+                found[i] = self.index[words[i]]
         return np.array(found, np.int64)
 
     def pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:

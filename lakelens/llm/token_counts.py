@@ -43,14 +43,19 @@ class Tree:
 
     @classmethod
     def of(cls, text: bytes, lengths: np.ndarray, counts: np.ndarray) -> Tree:
-        leaves, sums, at = [], [], 0
-        for i in range(0, len(lengths), LEAF):
-            own, n = lengths[i : i + LEAF].astype(np.uint32), counts[i : i + LEAF].astype(np.uint32)
-            size = int(own.sum())
-            leaves.append((text[at : at + size], own, n))
-            sums.append((size, characters(leaves[-1][0]), int(n.sum()), len(own)))
-            at += size
-        return cls(leaves, np.array(sums, np.int64).reshape(-1, 4))
+        first = np.arange(0, len(lengths), LEAF)
+        sums = np.zeros((len(first), 4), np.int64)
+        if not len(first):
+            return cls([], sums)
+        # a leaf's numbers are cut from the whole's bytes, as load gets them; its sums are taken for all leaves at once
+        own, n = lengths.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
+        sums[:, BYTES] = np.add.reduceat(lengths, first, dtype=np.int64)
+        ends = np.cumsum(sums[:, BYTES])
+        starts = ends - sums[:, BYTES]
+        sums[:, CHARS] = np.add.reduceat((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, starts, dtype=np.int64)
+        sums[:, TOKENS] = np.add.reduceat(counts, first, dtype=np.int64)
+        sums[:, PIECES] = np.diff(np.append(first, len(lengths)))
+        return cls([(text[a:b], own[i : i + 4 * LEAF], n[i : i + 4 * LEAF]) for a, b, i in zip(starts.tolist(), ends.tolist(), range(0, 4 * len(lengths), 4 * LEAF))], sums)
 
     @classmethod
     def load(cls, texts: list, lengths: list, counts: list, sums: bytes) -> Tree:

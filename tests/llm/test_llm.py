@@ -648,3 +648,13 @@ def test_bitmaps_part_families_without_losing_links():
         links = [(i, j) for i in range(200) for j in range(i) if rows[i][1] != rows[j][1] and (own or i % 2 != j % 2) and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))]
         assert len(links) > 50 and all({i, j} <= ids and part[rows[i][1]] == part[rows[j][1]] for i, j in links)
         assert not ids & set(range(120, 200))  # what nothing is close to goes
+
+
+def test_bpe_merges_side_by_side_as_one_by_one():
+    """Words that the pass side by side takes, whole tokens, one byte and words beyond its bound, with a repeated learning."""
+    r, e = random.Random(9), Encoder(queries.RANKS)
+    words = list(dict.fromkeys([mess(r, r.choice((1, 2, 7, 20, 60))).encode() for _ in range(3000)] + [w.encode() for w in ("a", " the", "é" * 16, "x" * 32, "x" * 33, "ab" * 40)]))
+    ids, n = e._merged(words)
+    want = [e.merge(w) for w in words]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert e.counts(words[:2000]).tolist() == [len(x) for x in want[:2000]] and e.counts(words).tolist() == [len(x) for x in want]
