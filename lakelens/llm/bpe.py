@@ -22,6 +22,8 @@ BLOCK = 128
 NONE = 1 << 60
 #: Bytes of a pre-token up to which pre-tokens are merged side by side.
 SIDE = 32
+#: Pre-tokens of like length from which on a pass side by side costs less than one by one.
+FEW = 256
 #: Pre-tokens a worker remembers: the first that it meets, so the frequent ones, and no more, so that its memory is bounded.
 CACHE = 300_000
 #: Characters that are split at a time; a longer text is cut where a token is sure to start.
@@ -230,6 +232,8 @@ class Encoder:
             else:
                 by.setdefault(-(-len(w) // 4), []).append(k)
         whole, slow = by.pop(0, []), by.pop(-1, [])
+        for size in [x for x, which in by.items() if len(which) < FEW]:
+            slow += by.pop(size)
         long = [self.merge(words[k]) for k in slow]
         # (places of words, their ids, ids in each)
         parts = [(whole, tokens, [1] * len(whole)), (slow, [*chain.from_iterable(long)], [*map(len, long)])]

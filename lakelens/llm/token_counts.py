@@ -212,7 +212,7 @@ def edit(enc: Encoder, forest: list[Tree], edits: list[tuple[int, int, str] | No
                 stop += 1
             parts.append((stop, head + t.read(b, stop)))
         data, starts, per = boundaries([p.decode() for _, p in parts])
-        base = 0
+        base, found, words = 0, [], []
         for n, (item, (stop, raw)) in enumerate(zip(todo, parts)):
             i, leaf, k, begin, head, b = item
             t, size, shift = forest[i], len(raw), b - len(head)  # a place of the part and shift make the place before
@@ -238,10 +238,14 @@ def edit(enc: Encoder, forest: list[Tree], edits: list[tuple[int, int, str] | No
                 later.append(item)
                 continue
             bounds = np.append(own[:cut], own[cut] if cut < len(own) else size)
-            words = [raw[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            counts = enc.counts(words) if words else np.zeros(0, np.int64)
-            t.splice(leaf, k, removed, raw[: int(bounds[-1])], np.diff(bounds), counts)
-            again[i] = len(words)
+            words += [raw[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            found.append((i, leaf, k, removed, raw[: int(bounds[-1])], np.diff(bounds)))
+        # the words of all trees are encoded together: a pass over a few costs about what one over thousands does
+        counts, at = enc.counts(words) if words else np.zeros(0, np.int64), 0
+        for i, leaf, k, removed, raw, lengths in found:
+            again[i] = len(lengths)
+            forest[i].splice(leaf, k, removed, raw, lengths, counts[at : at + len(lengths)])
+            at += len(lengths)
         todo, window = later, window * 2
     return again
 

@@ -658,3 +658,32 @@ def test_bpe_merges_side_by_side_as_one_by_one():
     want = [e.merge(w) for w in words]
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
     assert e.counts(words[:2000]).tolist() == [len(x) for x in want[:2000]] and e.counts(words).tolist() == [len(x) for x in want]
+
+
+def test_op7_edits_encode_the_words_of_all_trees_together():
+    """A pass of an edit asks the encoder once, however many trees it has, and the trees are those of the texts edited anew."""
+    r, e, asked = random.Random(11), Encoder(queries.RANKS), []
+    texts = [mess(r, r.choice((0, 1, 5, 80, 900))) for _ in range(200)]
+    forest, own = trees(e, texts), e.counts
+    e.counts = lambda words: asked.append(len(words)) or own(words)
+    cuts = [(r.randint(0, len(t)), r.randint(0, 6), mess(r, r.randint(0, 9))) for t in texts]
+    again = edit(e, forest, [(f.byte_of(a), f.byte_of(a + n), new) for f, (a, n, new) in zip(forest, cuts)])
+    assert sum(asked) == sum(again) > 300 and len(asked) < 20
+    for f, t, (a, n, new) in zip(forest, texts, cuts):
+        text = t[:a] + new + t[a + n :]
+        words = e.pieces([text])[0]
+        assert b"".join(x[0] for x in f.leaves) == text.encode() and f.total() == sum(len(e.merge(w)) for w in words)
+        assert [int(x) for i in range(f.width) for x in f.leaf(i)[1]] == [*map(len, words)]
+
+
+def test_bpe_merges_few_words_one_by_one():
+    """A few words aren't worth a pass side by side; many of like length are, with the same ids."""
+    e, sizes = Encoder(queries.RANKS), []
+    own = e._merge_many
+    e._merge_many = lambda words: sizes.append(len(words)) or own(words)
+    words = [f" {a}qz{b}x".encode() for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    for some in (words[:1], words[:9], words):
+        ids, n = e._merged(some)
+        want = [e.merge(w) for w in some]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert sizes == [len(words)]
